@@ -161,30 +161,23 @@ def rows(bucket, block, kind, a, c, d) -> pa.Table:
     )
 
 
-def unpacked(table: pa.Table, kind: int | None = None) -> tuple[np.ndarray, ...]:
+def unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
     """Blocks, ranks a and c and documents d of packed rows."""
-    a, c, d, blocks = [], [], [], []
-    for r in table.to_pylist():
-        if kind is None or r["kind"] == kind:
-            a.append(np.frombuffer(r["a"], np.uint32))
-            c.append(np.frombuffer(r["c"], np.uint64))
-            d.append(np.frombuffer(r["d"], np.int64))
-            blocks.append(np.full(len(a[-1]), r["block"], np.int32))
-    if not a:
-        return np.zeros(0, np.int32), np.zeros(0, np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(blocks), np.concatenate(a), np.concatenate(c), np.concatenate(d)
-
-
-def sent_back(bucket: int, kinds: np.ndarray, block: np.ndarray, a: np.ndarray, c: np.ndarray, d: np.ndarray) -> pa.Table:
-    """One row for each block and kind."""
-    order = np.lexsort((kinds, block))
-    kinds, block, a, c, d = kinds[order], block[order], a[order], c[order], d[order]
+    got = table.to_pylist()
+    a, c, d = (np.frombuffer(b"".join(r[k] for r in got), t) for k, t in (("a", np.uint32), ("c", np.uint64), ("d", np.int64)))
+    return np.repeat(np.array([r["block"] for r in got], np.int32), [len(r["a"]) // 4 for r in got]), a, c, d
+
+
+def sent_back(bucket: int, kinds: np.ndarray, block: np.ndarray, c: np.ndarray, d: np.ndarray) -> pa.Table:
+    """One row for each block and kind, in the order of documents, which packs well."""
+    order = np.lexsort((d, kinds, block))
+    kinds, block, c, d = kinds[order], block[order], c[order], d[order]
     new = np.ones(len(block), bool)
     new[1:] = (block[1:] != block[:-1]) | (kinds[1:] != kinds[:-1])
     starts = np.flatnonzero(new)
     stops = np.append(starts[1:], len(block))
-    cols = [[x[i:j].tobytes() for i, j in zip(starts, stops)] for x in (a, c, d)]
-    return rows(np.full(len(starts), bucket), block[starts], kinds[starts], *cols)
+    cols = [[x[i:j].tobytes() for i, j in zip(starts, stops)] for x in (c, d)]
+    return rows(np.full(len(starts), bucket), block[starts], kinds[starts], [b""] * len(starts), *cols)
 
 
 #: What a rank's bucket tells a block.
@@ -210,34 +203,33 @@ def judged(table: pa.Table, single: bool) -> pa.Table:
     group = np.cumsum(new) - 1
     size = np.diff(np.append(starts, n))
     often = size[group] > 1
-    out = [(np.full(int(often.sum()), SINGLE if single else WHOLE), block[often], a[often], c[often], d[starts][group[often]])]
+    out = [(np.full(int(often.sum()), SINGLE if single else WHOLE), block[often], c[often], d[starts][group[often]])]
     if not single and n:
         a_group = np.cumsum(new_a) - 1
         a_starts = np.flatnonzero(new_a)
         contexts = np.bincount(a_group[starts], minlength=len(a_starts))
         mixed = (np.minimum.reduceat(d, a_starts) != np.maximum.reduceat(d, a_starts)) & (contexts > 1)
         at = starts[mixed[a_group[starts]]]
-        out.append((np.full(len(at), SPLIT), block[at], a[at], c[at], d[at]))
+        out.append((np.full(len(at), SPLIT), block[at], c[at], d[at]))
     return sent_back(bucket, *(np.concatenate(x) for x in zip(*out)))
 
 
 class Marks:
-    """What a block has been told, to be looked up by rank."""
+    """What a block has been told of one kind, to be looked up by rank."""
 
     def __init__(self, table: pa.Table, kind: int):
-        _, a, c, d = unpacked(table, kind)
-        order = np.argsort(c, kind="stable")
-        self.a, self.c, self.d = a[order], c[order], d[order]
+        got = [r for r in table.select(["kind", "c", "d"]).to_pylist() if r["kind"] == kind]
+        c = np.frombuffer(b"".join(r["c"] for r in got), np.uint64)
+        order = np.argsort(c)
+        self.c, self.d = c[order], np.frombuffer(b"".join(r["d"] for r in got), np.int64)[order]
 
-    def find(self, a: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """For each pair the document told for it, else the largest number."""
+    def find(self, c: np.ndarray) -> np.ndarray:
+        """For each rank the document told for it, else the largest number."""
         out = np.full(len(c), LAST_ID)
         if len(self.c):
             at = np.searchsorted(self.c, c)
             at[at == len(self.c)] = 0
             hit = self.c[at] == c
-            # equal c under another a is told apart by the anchor rank
-            hit &= self.a[at] == a
             out[hit] = self.d[at[hit]]
         return out
 
@@ -297,23 +289,24 @@ def repeated_windows(
         if not len(split.c):
             return rows([], [], [], [], [], [])
         ids, tokens = prepared(table)
-        a, c, d = [], [], []
+        a, b, c, d = [], [], [], []
         for _, own, values, ends in chunks(ids, tokens):
             runs = Runs(values, ends, width, gram)
             if not len(runs.first):
                 continue
-            anchor = low(mix64(runs.gram))
-            which = np.flatnonzero(split.find(anchor, runs.context()) == own[runs.doc()])
+            rank = mix64(runs.gram)
+            which = np.flatnonzero(split.find(runs.context()) == own[runs.doc()])
             if len(which):
                 start, run = runs.windows(which)
-                a.append(anchor[run])
+                a.append(low(rank[run]))
+                b.append(bucket_of(rank[run], buckets))
                 c.append(runs.ranks(start))
                 d.append(own[runs.doc()[run]])
         if not a:
             return rows([], [], [], [], [], [])
-        a, c, d = (np.concatenate(x) for x in (a, c, d))
+        a, b, c, d = (np.concatenate(x) for x in (a, b, c, d))
         keep = firsts(a, c, d)
-        return packed(block, SINGLE, bucket_of(c[keep], buckets), a[keep], c[keep], d[keep])
+        return packed(block, SINGLE, b[keep], a[keep], c[keep], d[keep])
 
     def last_round(table: pa.Table, told: pa.Table) -> pa.Table:
         whole, split, single = (Marks(told, k) for k in (WHOLE, SPLIT, SINGLE))
@@ -326,8 +319,8 @@ def repeated_windows(
         a = np.concatenate([low(mix64(r.gram)) if len(r.first) else np.zeros(0, np.uint32) for *_, r in lots] or [np.zeros(0, np.uint32)])
         c = np.concatenate([r.context() if len(r.first) else np.zeros(0, np.uint64) for *_, r in lots] or [np.zeros(0, np.uint64)])
         d = np.concatenate([own[r.doc()] if len(r.first) else np.zeros(0, np.int64) for _, own, _, r in lots] or [np.zeros(0, np.int64)])
-        best = np.minimum(least_by(a, c, d), whole.find(a, c))
-        apart = split.find(a, c) != LAST_ID
+        best = np.minimum(least_by(a, c, d), whole.find(c))
+        apart = split.find(c) != LAST_ID
         lone = []  # windows ranked one by one, met in the block itself
         at = 0
         for _, own, _, runs in lots:
@@ -337,7 +330,7 @@ def repeated_windows(
                 lone.append((a[at:][run], runs.ranks(start), own[runs.doc()[run]]))
             at += len(runs.first)
         alone = [np.concatenate(x) for x in zip(*lone)] if lone else [np.zeros(0, t) for t in (np.uint32, np.uint64, np.int64)]
-        least = np.minimum(least_by(*alone), single.find(*alone[:2]))
+        least = np.minimum(least_by(*alone), single.find(alone[1]))
         first: list[np.ndarray] = []
         at = spent = 0
         for _, own, ends, runs in lots:
@@ -358,7 +351,7 @@ def repeated_windows(
 
     ranked = by_block.groupBy("block").applyInArrow(first_round, RANKS)
     told = ranked.groupBy("bucket").applyInArrow(lambda t: judged(t, False), RANKS)
-    more = by_block.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(second_round, RANKS)
+    more = by_block.groupBy("block").cogroup(told.where(F.col("kind") == SPLIT).groupBy("block")).applyInArrow(second_round, RANKS)
     told_more = more.groupBy("bucket").applyInArrow(lambda t: judged(t, True), RANKS)
     return by_block.groupBy("block").cogroup(told.unionByName(told_more).groupBy("block")).applyInArrow(last_round, schema)
 
