@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and SQL, in the order of the operators.
-MODULES = ["suffix_dedup", "substring_dedup"]
+MODULES = ["suffix_dedup", "substring_dedup", "near_dedup"]
 
 
 def _modules() -> list:
