@@ -40,7 +40,7 @@ def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.logical_and.reduceat(gone, starts)[char] if len(starts) else gone
 
 
-def suffix_array_dedup(docs: DataFrame, length: int = 50, keep_text: bool = False, block_bytes: int = 6 << 20) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, length: int = 50, keep_text: bool = False, block_bytes: int = 4 << 20) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts in a document with a smaller id.
 
     Texts are UTF-8 bytes, whole; strings never cross documents and are judged on the input.
