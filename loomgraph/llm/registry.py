@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and SQL, in the order of the operators.
-MODULES = ["warc", "suffix_dedup", "substring_dedup", "mixing", "sentencepieces", "quality_classifier", "near_dedup", "quality_rules", "merkle"]
+MODULES = ["warc", "suffix_dedup", "substring_dedup", "mixing", "sentencepieces", "quality_classifier", "near_dedup", "quality_rules", "page_text", "merkle"]
 
 
 def _modules() -> list:
