@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Odd multipliers of the 64-bit mixers (fixed values).
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
@@ -47,6 +49,7 @@ class Tables:
     """Written tables that cut lineage, in one scratch folder of a run."""
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark, self.folder, self.count = spark, scratch_dir(spark), 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .shared import GOLDEN, MIX_A, mix64, parts_for, text_bytes
 
 #: Base of the rolling hash: odd, so that it has an inverse modulo 2**64 (fixed values).
@@ -254,6 +255,7 @@ def repeated_windows(
     document in which the sequence starts (the largest number where none is known to be smaller);
     it returns the block's result rows in ``schema``.
     """
+    ship(docs.sparkSession)
     total = text_bytes(docs)
     blocks = parts_for(total, block_bytes)
     buckets = parts_for(total, 8 << 20)
