@@ -10,12 +10,13 @@ import re
 from collections import Counter
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Tables, documents, parts_for, text_bytes
+from ..shipping import ship
+from .shared import documents, parts_for, text_bytes
 
 #: A piece ends after a sentence, or at this many code points: fewer in texts shorter than BRIEF.
 PIECE, BRIEF_PIECE, BRIEF = 96, 12, 512
@@ -117,67 +118,70 @@ def compared(doc_id, text: str, own: str, after: str, after_print: str) -> tuple
     return doc_id, len(text), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, print_, likeness(own, print_), likeness(own, after_print)
 
 
-def table_of(rows: list[tuple], extra: list[tuple] | None = None) -> pa.RecordBatch:
-    names = [c.split()[0] for c in COLUMNS.split(", ")]
+def table_of(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-    if extra is not None:
-        names, cols = [*names, "part", "edge", "text"], [*cols, *(pa.array([e[k] for e in extra], t) for k, t in enumerate((pa.int32(), pa.string(), pa.string())))]
-    return pa.RecordBatch.from_arrays(cols, names)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [c.split()[0] for c in COLUMNS.split(", ")])
 
 
-def merkle_fingerprints(docs: DataFrame, part_bytes: int = 16 << 20) -> DataFrame:
+def merkle_fingerprints(docs: DataFrame, part_bytes: int = 2 << 20) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, and how alike they are.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or
     all) of the next document in descending doc_id; after the last comes the first. Returns doc_id,
     n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Documents are put in order once, over ranges; each task walks its range and leaves its first
-    text and its last row, which are put together over the ranges, of which there are at most 2000.
+    Documents go to ranges of doc_id, at most 20,000, whose largest ids are quantiles of all ids.
+    The first document of each range goes to the range before too, behind its last document, so that
+    each range can be walked by itself and texts move once.
 
     A null text is empty; a null doc_id comes last. Rows with equal doc_id come in ascending order
     of their texts. A lone document is its own next. Empty tables give empty results. Other columns
     are ignored.
     """
-    tables = Tables(docs.sparkSession)
-    parts = min(2000, parts_for(text_bytes(docs), part_bytes))
-    key = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    laid = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    laid = laid.repartitionByRange(parts, F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*key)
+    ship(docs.sparkSession)
+    parts = min(20_000, parts_for(text_bytes(docs), part_bytes))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    quantiles = F.percentile_approx("doc_id", [k / parts for k in range(1, parts + 1)], 100 * parts)
+    tops = np.array(sorted(set(docs.agg(quantiles).first()[0] or [])), np.int64)  # each is an id of the table
+
+    def deal(batches):
+        for batch in batches:
+            ids = batch.column("doc_id")
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            values = ids.fill_null(0).to_numpy()
+            # range 0 holds the largest ids; ids that are null go to the last range
+            at = np.searchsorted(tops, values)
+            part = np.where(known, len(tops) - 1 - at, max(0, len(tops) - 1)).astype(np.int32)
+            first = np.flatnonzero(known & (tops[np.minimum(at, len(tops) - 1)] == values)) if len(tops) else np.zeros(0, int)
+            yield dealt(batch, part, False)
+            if len(first):
+                yield dealt(batch.take(pa.array(first)), ((part[first] - 1) % len(tops)).astype(np.int32), True)
+
+    def dealt(batch: pa.RecordBatch, part: np.ndarray, after: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part), pa.array([after] * len(part)), batch.column("doc_id"), batch.column("text")], ["part", "after", "doc_id", "text"])
 
     def walk(batches):
-        part, last = TaskContext.get().partitionId(), None
+        last = first = done = None  # last: the document that waits for its next one
         for batch in batches:
-            rows, extra = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = []
+            for part, after, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if last is not None and last[0] != part:
+                    rows.append(compared(*last[1:], first[0], first[1]))
+                    last = None
+                if part == done:
+                    continue
                 own = fingerprint(text)
-                if last is None:
-                    rows.append((None,) * 7)
-                    extra.append((part, "first", text))
+                if last is not None:
+                    rows.append(compared(*last[1:], text, own))
                 else:
-                    rows.append(compared(*last, text, own))
-                    extra.append((part, None, None))
-                last = (doc_id, text, own)
-            yield table_of(rows, extra)
+                    first = (text, own)
+                done, last = (part, None) if after else (done, (part, doc_id, text, own))
+            yield table_of(rows)
         if last is not None:
-            yield table_of([(last[0], *(None,) * 6)], [(part, "last", last[1])])
-
-    walked = tables.keep(laid.mapInArrow(walk, f"{COLUMNS}, part int, edge string, text string"), "walked")
-    firsts = walked.where("edge = 'first'").select("part", F.col("text").alias("after"))
-    seen = firsts.select("part")
-    wrap = seen.agg(F.min("part").alias("lowest"))
-    follows = seen.alias("x").join(seen.alias("y"), F.col("y.part") > F.col("x.part"), "left").groupBy(F.col("x.part").alias("part")).agg(F.min("y.part").alias("then"))
-    follows = follows.join(F.broadcast(wrap)).select("part", F.coalesce("then", "lowest").alias("then"))
-    ends = walked.where("edge = 'last'").select("part", "doc_id", "text").join(follows, "part").join(firsts.withColumnRenamed("part", "then"), "then")
-
-    def close(batches):
-        for batch in batches:
-            got = batch.to_pydict()
-            yield table_of([compared(i, t, fingerprint(t), a, fingerprint(a)) for i, t, a in zip(got["doc_id"], got["text"], got["after"])])
+            yield table_of([compared(*last[1:], first[0], first[1])])
 
-    names = [c.split()[0] for c in COLUMNS.split(", ")]
-    return walked.where("edge IS NULL").select(*names).unionByName(ends.select("doc_id", "text", "after").mapInArrow(close, COLUMNS))
+    laid = docs.mapInArrow(deal, "part int, after boolean, doc_id long, text string").repartition(parts, "part")
+    return laid.sortWithinPartitions("part", "after", F.col("doc_id").desc_nulls_last(), "text").mapInArrow(walk, COLUMNS)
 
 
 def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
