@@ -5,8 +5,9 @@ Documents with equal shingle sets form one class. A class is posted under each o
 than ``matches`` shared pairs is skipped, and of the others only the rarest pairs are posted, of
 which two classes with enough matches must share one (prefix filter). Posting lists are then merged
 in rounds: each list names a centre and its members are held against it; members that are already
-connected with it are skipped. What is left between components at the end is counted pair by pair
-and retained at ``matches`` equal coordinates or more. Every link is confirmed on full shingle sets.
+connected with it are skipped. What is left between components at the end is taken pair by pair.
+Collisions of a pair are counted over all coordinates, and pairs with ``matches`` or more are
+retained. Every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ from .components import components
 from .shared import GOLDEN, MIX_A, Tables, documents, mix64
 from .words import word_values
 
-ROUNDS = 12
+#: Rounds of centres at most. They end when at most FEW pairs a posted row are left between
+#: components and the last round found less than a link for SLOW posted rows, or none.
+ROUNDS, FEW, SLOW = 12, 16, 200
 
 
 def shingles(values: np.ndarray, size: int) -> np.ndarray:
@@ -65,6 +69,17 @@ def signed(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, cid long, posts array<long>")
 
 
+def shrunk(texts: DataFrame) -> DataFrame:
+    """(cid, text) with texts compressed, as they move more than once."""
+
+    def run(batches):
+        for batch in batches:
+            pack = zstandard.ZstdCompressor(level=3).compress
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([pack(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["cid", "text"])
+
+    return texts.mapInArrow(run, "cid long, text binary")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of classes, those with 100 * intersection >= percent * union of the full sets."""
 
@@ -76,7 +91,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             if len(known) > 2000:
                 known = {c: s for c, s in known.items() if c in set(got["a"]) | set(got["b"])}
                 fresh |= {c: t for side in "ab" for c, t in zip(got[side], got[f"text_{side}"]) if c not in known}
-            known |= dict(zip(fresh, shingle_sets(list(fresh.values()), size)))
+            unpack = zstandard.ZstdDecompressor().decompress
+            known |= dict(zip(fresh, shingle_sets([unpack(t).decode() for t in fresh.values()], size)))
             good = []
             for a, b in zip(got["a"], got["b"]):
                 x, y = known[a], known[b]
@@ -100,9 +116,22 @@ def relabelled(tables: Tables, state: DataFrame, links: DataFrame) -> DataFrame:
     return tables.keep(state.join(moved, "label", "left").select("cid", F.coalesce("to", "label").alias("label")), "state")
 
 
-def merged_lists(tables: Tables, lists: DataFrame, posts: DataFrame, texts: DataFrame, size: int, percent: int, matches: int) -> DataFrame:
-    """(cid, label) for the classes of the posting lists (token, cid)."""
+def retained(pairs: DataFrame, marks: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Of pairs (a, b) those whose set sizes can give ``percent`` and of whose coordinates ``matches`` collide.
+
+    marks: (cid, n, mark); a mark holds seven bits of each coordinate, so that no collision is missed.
+    """
+    own = lambda k: marks.select(F.col("cid").alias(k), F.col("n").alias(f"n_{k}"), F.col("mark").alias(f"mark_{k}"))
+    met = pairs.join(own("a"), "a").join(own("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    same = F.size(F.filter(F.zip_with("mark_a", "mark_b", lambda x, y: x == y), lambda x: x))
+    return met.where(same >= matches).select("a", "b")
+
+
+def merged_lists(tables: Tables, lists: DataFrame, marks: DataFrame, texts: DataFrame, size: int, percent: int, matches: int) -> DataFrame:
+    """(cid, label) for the classes of the posting lists (token, cid, n)."""
     state = tables.keep(lists.select("cid").distinct().withColumn("label", F.col("cid")), "state")
+    links = lambda pairs: tables.keep(confirmed(retained(pairs, marks, percent, matches), texts, size, percent), "found")
+    gained = 1
     for k in range(ROUNDS + 1):
         open_lists = lists.join(state, "cid")
         mixed = open_lists.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("labels"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("same")).where("labels > 1")
@@ -111,41 +140,40 @@ def merged_lists(tables: Tables, lists: DataFrame, posts: DataFrame, texts: Data
         if not found[0]:
             return state
         open_lists = open_lists.join(mixed.select("token"), "token")
-        if k == ROUNDS or k and found[1] <= 2 * found[2]:
-            return relabelled(tables, state, tables.keep(between(open_lists, posts, texts, size, percent, matches), "left"))
+        if k == ROUNDS or k and found[1] <= FEW * found[2] and gained < found[2] // SLOW or not gained:
+            return relabelled(tables, state, links(between(open_lists, percent)))
         # one centre a list, the same for as many lists as can be: the smallest by a hash of this round
         draw = F.xxhash64(F.col("cid"), F.lit(k))
         centre = open_lists.groupBy("token").agg(F.min(F.struct(draw.alias("h"), F.col("cid").alias("centre"), F.col("label").alias("centre_label"))).alias("c")).select("token", "c.centre", "c.centre_label")
-        pairs = open_lists.join(centre, "token").where("label <> centre_label").groupBy("cid", "centre", "label", "centre_label").agg(F.count("*").alias("n"))
-        one = pairs.groupBy("cid", "label").agg(F.max(F.struct("n", "centre", "centre_label")).alias("best")).select("cid", "label", "best.centre", "best.centre_label")
+        pairs = open_lists.join(centre, "token").where("label <> centre_label").groupBy("cid", "centre", "label", "centre_label").agg(F.count("*").alias("times"))
+        one = pairs.groupBy("cid", "label").agg(F.max(F.struct("times", "centre", "centre_label")).alias("best")).select("cid", "label", "best.centre", "best.centre_label")
         if k:  # a few members speak for each pair of components
             low, high = F.least("label", "centre_label"), F.greatest("label", "centre_label")
             some = one.groupBy(low.alias("low"), high.alias("high"), F.pmod(F.xxhash64("cid", F.lit(k)), F.lit(8)).alias("lot")).agg(F.min(F.struct("cid", "centre")).alias("p"))
             one = some.select("p.cid", "p.centre")
-        links = tables.keep(confirmed(one.select(F.col("centre").alias("a"), F.col("cid").alias("b")), texts, size, percent), "found")
-        new = relabelled(tables, state, links)
-        for old in (state, mixed, links):
+        new_links = links(one.select(F.col("centre").alias("a"), F.col("cid").alias("b")))
+        gained = new_links.count()
+        new = relabelled(tables, state, new_links)
+        for old in (state, mixed, new_links):
             tables.drop(old)
         state = new
     return state
 
 
-def between(open_lists: DataFrame, posts: DataFrame, texts: DataFrame, size: int, percent: int, matches: int) -> DataFrame:
-    """Links between classes of different components in one list: collisions are counted, then confirmed."""
-    side = lambda n: open_lists.select("token", F.col("cid").alias(n), F.col("label").alias(f"label_{n}"))
-    pairs = side("a").join(side("b"), "token").where("label_a < label_b").select("a", "b").distinct()
-    own = lambda n: posts.select(F.col("cid").alias(n), F.col("posts").alias(f"posts_{n}"))
-    met = pairs.join(own("a"), "a").join(own("b"), "b").where(F.size(F.array_intersect("posts_a", "posts_b")) >= matches)
-    return confirmed(met.select("a", "b"), texts, size, percent)
+def between(open_lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components that share a list and whose sizes can give ``percent``."""
+    side = lambda k: open_lists.select("token", F.col("cid").alias(k), F.col("label").alias(f"label_{k}"), F.col("n").alias(f"n_{k}"))
+    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return side("a").join(side("b"), "token").where((F.col("label_a") < F.col("label_b")) & near).select("a", "b").distinct()
 
 
-def minhash_near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 20) -> DataFrame:
+def minhash_near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 24) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of documents with similar shingle sets.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of whole texts with A-Z as a-z. A set holds the distinct
     ``size``-word shingles, or all words as one where there are fewer. Two documents are linked
-    when 100 * intersection >= ``percent`` * union. With ``coordinates`` 48 and ``matches`` 20 a
-    pair at similarity 0.8 is a candidate with probability over 1 - 1e-10.
+    when 100 * intersection >= ``percent`` * union. With ``coordinates`` 48 and ``matches`` 24 a
+    pair at similarity 0.8 is a candidate with probability over 1 - 2e-6, one at 0.9 over 1 - 1e-13.
 
     A null or empty text has an empty set: linked with nothing, its own component. Rows with equal
     sets are one class, rows with equal doc_id and different texts are different documents with one
@@ -154,22 +182,24 @@ def minhash_near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, coordi
     tables = Tables(docs.sparkSession)
     rows = tables.keep(signed(docs, size, coordinates), "signed")
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    leads = tables.keep(rows.where("cid IS NOT NULL").groupBy("cid").agg(lead.alias("lead"), F.any_value("posts").alias("posts")), "leads")
+    leads = tables.keep(rows.where("cid IS NOT NULL").groupBy("cid").agg(lead.alias("lead"), F.any_value("posts").alias("posts"), F.any_value("n_shingles").alias("n")), "leads")
     classes = leads.select("cid", F.col("lead.doc_id").alias("first_id"), F.col("lead.text_hash").alias("text_hash"))
     posted = leads.select("cid", F.explode("posts").alias("token"))
     often = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    ranked = posted.join(often, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared")).where(F.size("shared") >= matches)
+    ranked = posted.join(often, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct(F.col("n").alias("often"), "token"))).alias("shared")).where(F.size("shared") >= matches)
     prefix = ranked.select("cid", F.explode(F.slice("shared", 1, F.size("shared") - F.lit(matches - 1))).alias("p")).select("cid", F.col("p.token").alias("token"))
     lists = tables.keep(prefix, "prefix")
     alone = lists.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    lists = tables.keep(lists.join(alone, "token"), "lists")
+    lists = lists.join(alone, "token")
     asked = tables.keep(lists.select("cid").distinct(), "asked")
+    mark = F.transform("posts", lambda x: x.bitwiseAND(127).cast("byte"))
+    marks = tables.keep(leads.join(asked, "cid").select("cid", "n", mark.alias("mark")), "marks")
+    lists = tables.keep(lists.join(marks.select("cid", "n"), "cid"), "lists")
     wanted = asked.join(classes, "cid")
     whole = docs.select(F.col("doc_id").cast("long").alias("own_id"), "text", F.xxhash64("text").alias("own_hash"))
     texts = whole.join(wanted, F.col("own_id").eqNullSafe(F.col("first_id")) & (F.col("own_hash") == F.col("text_hash")))
-    texts = tables.keep(texts.dropDuplicates(["cid"]).select("cid", "text"), "texts")
-    posts = leads.join(asked, "cid").select("cid", "posts")
-    state = merged_lists(tables, lists, posts, texts, size, percent, matches)
+    texts = tables.keep(shrunk(texts.dropDuplicates(["cid"]).select("cid", "text")), "texts")
+    state = merged_lists(tables, lists, marks, texts, size, percent, matches)
     named = classes.join(state, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     ids = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = tables.keep(named.join(ids, "label").select("cid", "component_id"), "named")
