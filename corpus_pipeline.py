@@ -3,10 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomgraph.llm.mixing import pfair_mix
+from loomgraph.llm.near_dedup import one_of_each
+from loomgraph.llm.quality_classifier import classified
+from loomgraph.llm.sentencepieces import sentencepiece_encode
 from loomgraph.llm.shared import Tables, documents
+from loomgraph.llm.suffix_dedup import suffix_array_dedup
 
-STAGES: list = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return classified(docs, labels, COLUMNS).where("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates, by shingles of five words."""
+    return one_of_each(docs.select(*COLUMNS))
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings that an earlier document holds; n_chars is counted anew."""
+    kept = suffix_array_dedup(docs, keep_text=True, carry=("lang", "source"))
+    return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mix."""
+    return pfair_mix(docs.select(*COLUMNS)).orderBy("mix_slot", "mix_place").select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_chars, ids, decodes of each document."""
+    return sentencepiece_encode(docs, ["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_strings", repeated_strings),
+    ("mixed_sources", mixed_sources),
+    ("encoded", encoded),
+]
+#: Language models, components and merges are beyond SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 

@@ -168,7 +168,22 @@ def between(open_lists: DataFrame, percent: int) -> DataFrame:
 
 
 def minhash_near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 24) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: components of documents with similar shingle sets.
+    """doc_id, n_shingles, component_id, kept: components of documents with similar shingle sets; see ``near_rows``."""
+    return near_rows(docs, size, percent, coordinates, matches).drop("text_hash")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs whose document is its component's smallest doc_id; all columns as they are.
+
+    Repeated rows of such a document all stay: they are one document. Rows without words stay.
+    """
+    gone = near_rows(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & F.xxhash64("text").eqNullSafe(F.col("gone_hash"))
+    return docs.join(gone, same, "left_anti")
+
+
+def near_rows(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 24) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept of each row.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of whole texts with A-Z as a-z. A set holds the distinct
     ``size``-word shingles, or all words as one where there are fewer. Two documents are linked
@@ -203,9 +218,9 @@ def minhash_near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, coordi
     named = classes.join(state, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     ids = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = tables.keep(named.join(ids, "label").select("cid", "component_id"), "named")
-    out = rows.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "cid").join(named, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

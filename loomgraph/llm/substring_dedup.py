@@ -15,6 +15,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .shared import documents
 from .spans import repeated_windows
@@ -89,7 +90,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, keep_text: bool = False, b
         return pa.table(cols | ({"kept_text": pa.array(texts, pa.string())} if keep_text else {}))
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return repeated_windows(docs.select("doc_id", "text"), lambda texts: word_values(encoded(texts)), finish, schema, width, min(GRAM, width), block_bytes)
+    return repeated_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda texts: word_values(encoded(texts)), finish, schema, width, min(GRAM, width), block_bytes)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .shared import GOLDEN, documents, mix64
 from .spans import repeated_windows
@@ -40,12 +41,12 @@ def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.logical_and.reduceat(gone, starts)[char] if len(starts) else gone
 
 
-def suffix_array_dedup(docs: DataFrame, length: int = 50, keep_text: bool = False, block_bytes: int = 4 << 20) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, length: int = 50, keep_text: bool = False, block_bytes: int = 4 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts in a document with a smaller id.
 
     Texts are UTF-8 bytes, whole; strings never cross documents and are judged on the input.
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also kept_text, in
-    which a character stays whole if one of its bytes stays.
+    which a character stays whole if one of its bytes stays. ``carry`` names columns to be passed on.
 
     A null text is empty. A null doc_id counts as larger than all others. Rows with equal doc_id
     never remove bytes from one another (an id is not smaller than itself). Texts under ``length``
@@ -67,11 +68,17 @@ def suffix_array_dedup(docs: DataFrame, length: int = 50, keep_text: bool = Fals
                 text = data[~whole_characters(data, gone)].tobytes().decode() if keep_text else None
             for k, v in zip(out, (len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), text)):
                 out[k].append(v)
-        cols = {"doc_id": table.column("doc_id")} | {k: pa.array(v, pa.int64() if k.startswith("n_") else pa.string()) for k, v in out.items() if keep_text or k != "kept_text"}
+        cols = {c: table.column(c) for c in ("doc_id", *carry)} | {k: pa.array(v, pa.int64() if k.startswith("n_") else pa.string()) for k, v in out.items() if keep_text or k != "kept_text"}
         return pa.table(cols)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
-    return repeated_windows(docs.select("doc_id", "text"), byte_tokens, finish, schema, length, min(GRAM, length), block_bytes)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    schema = docs.drop("text").schema
+    for name in ("n_bytes", "n_removed", "n_spans"):
+        schema = schema.add(name, "long")
+    schema = schema.add("kept_sha256", "string")
+    if keep_text:
+        schema = schema.add("kept_text", "string")
+    return repeated_windows(docs, byte_tokens, finish, schema, length, min(GRAM, length), block_bytes)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
