@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans import catalog
+
+QUERIES: dict = dict(catalog.QUERIES)
+SQL: dict[str, str] = dict(catalog.SQL)
