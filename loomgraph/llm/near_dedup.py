@@ -5,9 +5,9 @@ Documents with equal shingle sets form one class. A class is posted under each o
 than ``matches`` shared pairs is skipped, and of the others only the rarest pairs are posted, of
 which two classes with enough matches must share one (prefix filter). Posting lists are then merged
 in rounds: each list names a centre and its members are held against it; members that are already
-connected with it are skipped. What is left between components at the end is taken pair by pair.
-Collisions of a pair are counted over all coordinates, and pairs with ``matches`` or more are
-retained. Every link is confirmed on full shingle sets.
+connected with it are skipped. What is left between components at the end is taken list
+by list. Collisions of a pair are counted over all coordinates, and pairs with ``matches`` or more
+are retained. Every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .components import components
 from .shared import GOLDEN, MIX_A, Tables, documents, mix64
 from .words import word_values
 
+#: Members of a posting list that one task holds.
+LIST = 1500
 #: Rounds of centres at most. They end when at most FEW pairs a posted row are left between
 #: components and the last round found less than a link for SLOW posted rows, or none.
 ROUNDS, FEW, SLOW = 12, 16, 200
@@ -55,7 +57,7 @@ def signed(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
     def run(batches):
         shift, factor = seeds(coordinates)
         coordinate = np.arange(coordinates, dtype=np.uint64) << np.uint64(32)
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             n, cid, posts = [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), size):
                 n.append(len(s))
@@ -85,7 +87,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     def run(batches):
         known: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             got = batch.to_pydict()
             fresh = {c: t for side in "ab" for c, t in zip(got[side], got[f"text_{side}"]) if c not in known}
             if len(known) > 2000:
@@ -141,7 +143,7 @@ def merged_lists(tables: Tables, lists: DataFrame, marks: DataFrame, texts: Data
             return state
         open_lists = open_lists.join(mixed.select("token"), "token")
         if k == ROUNDS or k and found[1] <= FEW * found[2] and gained < found[2] // SLOW or not gained:
-            return relabelled(tables, state, links(between(open_lists, percent)))
+            return relabelled(tables, state, tables.keep(between(open_lists, marks, texts, size, percent, matches), "left"))
         # one centre a list, the same for as many lists as can be: the smallest by a hash of this round
         draw = F.xxhash64(F.col("cid"), F.lit(k))
         centre = open_lists.groupBy("token").agg(F.min(F.struct(draw.alias("h"), F.col("cid").alias("centre"), F.col("label").alias("centre_label"))).alias("c")).select("token", "c.centre", "c.centre_label")
@@ -160,11 +162,64 @@ def merged_lists(tables: Tables, lists: DataFrame, marks: DataFrame, texts: Data
     return state
 
 
-def between(open_lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that share a list and whose sizes can give ``percent``."""
-    side = lambda k: open_lists.select("token", F.col("cid").alias(k), F.col("label").alias(f"label_{k}"), F.col("n").alias(f"n_{k}"))
-    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return side("a").join(side("b"), "token").where((F.col("label_a") < F.col("label_b")) & near).select("a", "b").distinct()
+def between(open_lists: DataFrame, marks: DataFrame, texts: DataFrame, size: int, percent: int, matches: int) -> DataFrame:
+    """Links (a, b) between components that share a list; of two components at least one where there is any.
+
+    A list's members come together with their texts. Long lists are dealt in blocks: members outside
+    the list's largest component meet one another and the largest component, block by block, so that
+    a task holds at most about LIST members. A pair is held in the first list that both are in.
+    """
+    sums = open_lists.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("total"))
+    sums = sums.select("token", F.col("m.label").alias("main"), F.expr(f"total <= {LIST}").alias("whole"), F.expr(f"CAST(ceil((total - m.n) / {LIST // 2}) AS int)").alias("others"), F.expr(f"CAST(ceil(m.n / {LIST // 2}) AS int)").alias("mains"))
+    task = "named_struct('kind', {}, 'i', CAST({} AS int), 'j', CAST({} AS int), 'side', {})"
+    rows = open_lists.join(sums, "token").withColumn("other", F.col("label") != F.col("main"))
+    rows = rows.withColumn("b", F.expr("CAST(pmod(xxhash64(cid), IF(other, others, mains)) AS int)"))
+    tasks = f"""CASE WHEN whole THEN array({task.format(0, 0, 0, 0)})
+        WHEN other THEN concat(transform(sequence(0, others - 1), x -> {task.format(1, 'least(b, x)', 'greatest(b, x)', 0)}), transform(sequence(0, mains - 1), x -> {task.format(2, 'b', 'x', 0)}))
+        ELSE transform(sequence(0, others - 1), x -> {task.format(2, 'x', 'b', 1)}) END"""
+    dealt = rows.select("token", "cid", "label", F.explode(F.expr(tasks)).alias("t")).select("token", "cid", "label", "t.*")
+    dealt = dealt.join(marks.join(texts, "cid"), "cid")
+
+    def hold(table: pa.Table) -> pa.Table:
+        got = table.to_pydict()
+        token, two = got["token"][0], got["kind"][0] == 2
+        n, side = np.array(got["n"]), np.array(got["side"])
+        marks_ = np.array(got["mark"], np.int8)
+        lists_ = [set(x) for x in got["tokens"]]
+        roots = {x: x for x in got["label"]}
+        sets: dict[int, np.ndarray] = {}
+
+        def root(x: int) -> int:
+            while roots[x] != x:
+                roots[x] = x = roots[roots[x]]
+            return x
+
+        def set_of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_sets([zstandard.ZstdDecompressor().decompress(got["text"][k]).decode()], size)[0]
+            return sets[k]
+
+        found = []
+        order = np.argsort(n, kind="stable")
+        for at, x in enumerate(order):
+            later = order[at + 1 :]
+            later = later[100 * n[x] >= percent * n[later]]
+            if two:
+                later = later[side[later] != side[x]]
+            if not len(later):
+                continue
+            later = later[(marks_[later] == marks_[x]).sum(axis=1) >= matches]
+            for y in later.tolist():
+                if root(got["label"][x]) == root(got["label"][y]) or min(lists_[x] & lists_[y]) != token:
+                    continue
+                a, b = set_of(int(x)), set_of(y)
+                both = len(a) + len(b) - len(np.union1d(a, b))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    found.append((got["cid"][x], got["cid"][y]))
+                    roots[root(got["label"][x])] = root(got["label"][y])
+        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.groupBy("token", "kind", "i", "j").applyInArrow(hold, "a long, b long")
 
 
 def minhash_near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 24) -> DataFrame:
@@ -202,13 +257,13 @@ def near_rows(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: in
     posted = leads.select("cid", F.explode("posts").alias("token"))
     often = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     ranked = posted.join(often, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct(F.col("n").alias("often"), "token"))).alias("shared")).where(F.size("shared") >= matches)
-    prefix = ranked.select("cid", F.explode(F.slice("shared", 1, F.size("shared") - F.lit(matches - 1))).alias("p")).select("cid", F.col("p.token").alias("token"))
-    lists = tables.keep(prefix, "prefix")
+    ranked = tables.keep(ranked.select("cid", F.transform(F.slice("shared", 1, F.size("shared") - F.lit(matches - 1)), lambda x: x.token).alias("tokens")), "prefix")
+    lists = ranked.select("cid", F.explode("tokens").alias("token"))
     alone = lists.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     lists = lists.join(alone, "token")
     asked = tables.keep(lists.select("cid").distinct(), "asked")
     mark = F.transform("posts", lambda x: x.bitwiseAND(127).cast("byte"))
-    marks = tables.keep(leads.join(asked, "cid").select("cid", "n", mark.alias("mark")), "marks")
+    marks = tables.keep(leads.join(asked, "cid").join(ranked, "cid").select("cid", "n", mark.alias("mark"), "tokens"), "marks")
     lists = tables.keep(lists.join(marks.select("cid", "n"), "cid"), "lists")
     wanted = asked.join(classes, "cid")
     whole = docs.select(F.col("doc_id").cast("long").alias("own_id"), "text", F.xxhash64("text").alias("own_hash"))
