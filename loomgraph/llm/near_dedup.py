@@ -273,6 +273,8 @@ def near_rows(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: in
     named = classes.join(state, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     ids = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = tables.keep(named.join(ids, "label").select("cid", "component_id"), "named")
+    for old in (leads, ranked, asked, marks, lists, texts, state):
+        tables.drop(old)
     out = rows.select("doc_id", "text_hash", "n_shingles", "cid").join(named, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
