@@ -39,11 +39,15 @@ def passages(window: np.ndarray, own: int, width: int) -> list[tuple[int, int, i
 
 
 def shard(found: list[tuple[list[str], list[tuple[int, int, int]]]]):
-    """The automaton of a block's passages, or None. A pattern is its words between single spaces."""
+    """The automaton of a block's passages, or None. A pattern is its words between single spaces.
+
+    Documents can know different first documents of one passage; the smallest holds for all.
+    """
     automaton = ahocorasick.Automaton()
     for words, spans in found:
         for i, j, after in spans:
-            automaton.add_word(" " + " ".join(words[i:j]) + " ", (j - i, after))
+            pattern = " " + " ".join(words[i:j]) + " "
+            automaton.add_word(pattern, (j - i, min(after, automaton.get(pattern, (0, after))[1])))
     if not len(automaton):
         return None
     automaton.make_automaton()

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from loomgraph.llm.near_dedup import minhash_near_dedup, one_of_each
-from loomgraph.llm.substring_dedup import substring_dedup
+from loomgraph.llm.substring_dedup import shard, substring_dedup
 from loomgraph.llm.suffix_dedup import suffix_array_dedup
 
 SCHEMA = "doc_id long, text string, block int, token string, label long, cid long"
@@ -82,6 +82,20 @@ def test_substring(spark, block_bytes):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(want)
 
 
+def test_substring_first(spark):
+    """A passage in mid-text and at text ends, over several blocks: some documents know a later first one than others."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(30))
+    some = lambda: " ".join(word() for _ in range(20))
+    rows = [(i, f"{some()} {passage}" + (f" {some()}" if i < 12 else "")) for i in range(40)]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup(frame(spark, rows), block_bytes=3000).collect()}
+    assert got == {i: sum(gone) for i, _, gone in uncovered(rows, 13, str.split)}
+    words = passage.split()
+    for order in ([1, 5], [5, 1]):
+        assert [v for _, v in shard([(words, [(0, 30, after)]) for after in order]).iter(f" {passage} ")] == [(30, 1)]
+
+
 def similar(rows, size, percent=80):
     """doc_id -> (set size, component) by comparing all pairs."""
     sets = {}
