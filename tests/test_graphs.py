@@ -1,5 +1,6 @@
 import pytest
 
+from loomgraph import registry
 from loomgraph.operators import analytics as A
 from loomgraph.operators import chains, filters, graphs, linking, stats, tickets
 
@@ -92,6 +93,24 @@ def test_links(spark):
     assert [chosen[f"t{i}"] for i in range(5)] == ["e1", "e1", "e2", "e2", "e3"]
 
 
+def test_chosen_links(spark, sf):
+    """The query takes all termini: as one that gives each its best free entry, entry by entry, 20 at most."""
+    d = sf.replace("sf0.001", "sf0.01")
+    left, used, want = {}, {}, set()
+    for r in registry.QUERIES["link_candidates"](spark, d).collect():
+        left.setdefault(r["terminus"], []).append((-r["score"], r["entry"]))
+    while left:
+        best = {t: min(free) for t, c in left.items() if (free := [x for x in c if used.get(x[1], 0) < 20])}
+        left = {t: left[t] for t in best}
+        for t, (score, entry) in sorted(best.items(), key=lambda x: (x[1][0], x[0])):
+            if used.get(entry, 0) < 20:
+                used[entry] = used.get(entry, 0) + 1
+                want.add((t, entry, -score))
+                del left[t]
+    assert {(r["terminus"], r["entry"], r["score"]) for r in registry.QUERIES["chosen_links"](spark, d).collect()} == want
+    assert max(t for t, *_ in want) > "0000001000"
+
+
 def test_compiled(spark):
     t = spark.createDataFrame([("r", "t", "completed", ["x", "y", "z"], ["Anger", "joyful"]), ("r", "u", "pending", ["x"], ["sad"])], "run_id string, ticket_id string, status string, texts array<string>, emotions array<string>")
     nodes, edges = linking.compiled(t, spark.createDataFrame([], "id string"))
