@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .shared import documents, parts_for, text_bytes
 
-#: A piece ends after a sentence, or at this many code points: fewer in texts shorter than BRIEF.
-PIECE, BRIEF_PIECE, BRIEF = 96, 12, 512
+#: A piece ends after a sentence, or at this many code points of one, in texts of every length.
+PIECE = 12
 SENTENCES = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
 SECTION_BREAK = re.compile(r"(\n\s*\n)")
 SHORT = 8
@@ -29,7 +29,7 @@ def node(kind: bytes, children: list[str]) -> str:
     return sha256(kind + "".join(children).encode()).hexdigest()
 
 
-def pieces_of(line: str, most: int) -> list[str]:
+def pieces_of(line: str, most: int = PIECE) -> list[str]:
     out = []
     for sentence in SENTENCES.findall(line):
         if len(sentence) <= most:
@@ -39,15 +39,23 @@ def pieces_of(line: str, most: int) -> list[str]:
     return out
 
 
-def fingerprint(text: str | None) -> str:
-    """The tree of a text; a null text is empty. Equal texts, and only those, have equal roots."""
+def leaf(piece: str) -> str:
+    return sha256(b"\0" + piece.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def fingerprint(text: str | None, known: dict[str, str] | None = None) -> str:
+    """The tree of a text; a null text is empty. Equal texts, and only those, have equal roots.
+
+    ``known`` gathers the leaves of the text's pieces, and gives those that are in it already.
+    """
     text = text or ""
-    names, out, most = [], [], BRIEF_PIECE if len(text) < BRIEF else PIECE
+    known = {} if known is None else known
+    names, out = [], []
     for section in SECTION_BREAK.split(text):
         paragraphs, own = [], []
         for line in section.splitlines(keepends=True):
-            pieces = pieces_of(line, most)
-            leaves = [sha256(b"\0" + p.encode("utf-8", "surrogatepass")).hexdigest() for p in pieces]
+            pieces = pieces_of(line)
+            leaves = [known.get(p) or known.setdefault(p, leaf(p)) for p in pieces]
             own.append(node(b"\1", leaves))
             paragraphs.append(f"{own[-1][:SHORT]}[{','.join(f'{h[:SHORT]}.{len(p)}' for h, p in zip(leaves, pieces))}]")
         names.append(node(b"\2", own))
@@ -90,8 +98,8 @@ def likeness(a: str, b: str) -> float:
     common = sum(map(weight, both))
     both, ours, theirs = differing(PARAGRAPHS.findall(",".join(ours)), PARAGRAPHS.findall(",".join(theirs)))
     common += sum(map(weight, both))
-    pairs = lambda x: [(leaf, leaf) for leaf in ",".join(x).split(",") if leaf]
-    common += sum(int(leaf.rpartition(".")[2]) for leaf in differing(pairs(ours), pairs(theirs))[0])
+    ours_left, theirs_left = (Counter(x for x in ",".join(y).split(",") if x) for y in (ours, theirs))
+    common += sum(int(x.rpartition(".")[2]) * n for x, n in (ours_left & theirs_left).items())
     total = weight(tree_a) + weight(tree_b)
     return min(1.0, 2 * common / total) if total else 1.0
 
@@ -110,11 +118,11 @@ def edits(a: str, b: str) -> list[int]:
 COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def compared(doc_id, text: str, own: str, after: str, after_print: str) -> tuple:
-    """A document's row, given the next document's text and fingerprint."""
+def compared(doc_id, text: str, own: str, known: dict[str, str], after: str, after_print: str, after_known: dict[str, str]) -> tuple:
+    """A document's row, given the next document's text, fingerprint and leaves: most leaves of the edited text are among theirs."""
     half = len(text) // 2
     edited = text[: len(text) - half] + after[:half]
-    print_ = own if edited == text else fingerprint(edited)
+    print_ = own if edited == text else fingerprint(edited, known | after_known)
     return doc_id, len(text), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, print_, likeness(own, print_), likeness(own, after_print)
 
 
@@ -166,19 +174,20 @@ def merkle_fingerprints(docs: DataFrame, part_bytes: int = 2 << 20) -> DataFrame
             rows = []
             for part, after, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if last is not None and last[0] != part:
-                    rows.append(compared(*last[1:], first[0], first[1]))
+                    rows.append(compared(*last[1:], *first))
                     last = None
                 if part == done:
                     continue
-                own = fingerprint(text)
+                known: dict[str, str] = {}
+                own = fingerprint(text, known)
                 if last is not None:
-                    rows.append(compared(*last[1:], text, own))
+                    rows.append(compared(*last[1:], text, own, known))
                 else:
-                    first = (text, own)
-                done, last = (part, None) if after else (done, (part, doc_id, text, own))
+                    first = (text, own, known)
+                done, last = (part, None) if after else (done, (part, doc_id, text, own, known))
             yield table_of(rows)
         if last is not None:
-            yield table_of([compared(*last[1:], first[0], first[1])])
+            yield table_of([compared(*last[1:], *first)])
 
     laid = docs.mapInArrow(deal, "part int, after boolean, doc_id long, text string").repartition(parts, "part")
     return laid.sortWithinPartitions("part", "after", F.col("doc_id").desc_nulls_last(), "text").mapInArrow(walk, COLUMNS)

@@ -240,3 +240,13 @@ def test_branches():
     x, y = merkle.fingerprint(a), merkle.fingerprint(b)
     assert x.split("|")[0] != y.split("|")[0] and merkle.fingerprint(a) == x and merkle.likeness(x, x) == 1.0
     assert 0.5 < merkle.likeness(x, y) < 1 and merkle.edits(x, y) == [1]
+
+
+def test_lengths():
+    """Likeness does not depend on how long texts are: near copies, and halves whose edited text is short."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdef ") for _ in range(916))
+    for n in (100, 511, 513, 900):
+        assert merkle.likeness(merkle.fingerprint(text[:n]), merkle.fingerprint(text[: n + 2])) > 0.85
+    edited = text[:458] + "A short one."
+    assert merkle.likeness(merkle.fingerprint(text), merkle.fingerprint(edited)) == pytest.approx(2 * 456 / (916 + 470), abs=0.02)
