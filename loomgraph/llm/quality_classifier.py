@@ -1,7 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, and quantiles of its perplexity.
 
 The model is counted on labelled rows of good quality. Spark adds up its n-grams in shards by their
-oldest symbol, and every document is scored against the joined shards of its language. A document
+oldest symbol, and every document is scored against its language's model, which is broadcast. A document
 is rejected when its perplexity lies beyond its language's quantiles of trusted text.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .kneser_ney import Scorer, bands, counted, models, score_of
 from .shared import Tables, documents
 
-#: The most trusted rows that the model is fitted on, and as many again for the quantiles.
+#: The most trusted rows of a language that its model is fitted on; all others give the quantiles.
 TRUSTED = 20_000
 
 
@@ -38,15 +38,22 @@ def classified(docs: DataFrame, labels: DataFrame, columns: list[str], trusted:
     spark = docs.sparkSession
     tables = Tables(spark)
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL")
-    # the bounded sample; joined by broadcast, as it has at most 2 * TRUSTED ids
-    chosen = good.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(2 * trusted)
-    chosen = tables.keep(chosen.select(F.col("doc_id").alias("trusted_id"), F.pmod("h", F.lit(2)).alias("fold")), "trusted")
-    known = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("trusted_id"))
-    fitted = models(tables.keep(counted(known.where("fold = 0")), "counts"))
+    known = docs.select("doc_id", "lang").distinct().join(good.select("doc_id"), "doc_id")
+    known = tables.keep(known.select(F.col("doc_id").alias("trusted_id"), F.col("lang").alias("of"), F.xxhash64("doc_id").alias("h")), "trusted")
+    # the smaller half of a language's hashes, or as many as are expected to be ``trusted``
+    sizes = known.groupBy("of").agg(F.count("*").alias("n"), F.percentile_approx("h", 0.5, 100_000).alias("middle"))
+    sizes = tables.keep(sizes.select(F.col("of").alias("size_of"), "n", "middle"), "sizes")
+    few = F.when(F.col("n") <= 2 * trusted, F.col("h") <= F.col("middle")).otherwise(F.col("h") / 2.0**64 + 0.5 < trusted / F.col("n"))
+    split = known.join(F.broadcast(sizes), F.col("of").eqNullSafe(F.col("size_of"))).select("trusted_id", "of", few.alias("fit"))
+    ours = (F.col("doc_id") == F.col("trusted_id")) & F.col("lang").eqNullSafe(F.col("of"))
+    # joined by broadcast, as the sample of each language is bounded
+    chosen = docs.select("doc_id", "lang", "text").join(F.broadcast(tables.keep(split.where("fit"), "fit")), ours)
+    fitted = models(tables.keep(counted(chosen), "counts"))
     scorers = spark.sparkContext.broadcast({lang: Scorer(m) for lang, m in fitted.items()})
-    limits = bands(scored(known.where("fold = 1"), scorers, ["lang", "text"]))
+    scores = tables.keep(scored(docs.select("doc_id", "lang", "text"), scorers, ["doc_id", "lang"]), "scores")
+    limits = bands(scores.join(split.where("NOT fit"), ours).select("lang", "score"))
     limits = tables.keep(limits.select(F.col("lang").alias("of"), F.col("high")), "limits")
-    out = scored(docs, scorers, list(dict.fromkeys([*columns, "lang", "text"])))
+    out = scores if set(columns) <= {"doc_id", "lang"} else scored(docs, scorers, list(dict.fromkeys([*columns, "lang", "text"])))
     out = out.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("of")), "left")
     perplexity, threshold = F.pow(F.lit(2.0), F.col("score")), F.pow(F.lit(2.0), F.col("high"))
     return out.select(*columns, perplexity.alias("perplexity"), threshold.alias("threshold"), F.coalesce(F.col("score") <= F.col("high"), F.lit(True)).alias("kept"))
@@ -55,9 +62,9 @@ def classified(docs: DataFrame, labels: DataFrame, columns: list[str], trusted:
 def quality_classifier(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
     """doc_id, lang, perplexity (a letter), threshold, kept.
 
-    Trusted rows are those labelled quality 1 and toxic 0 (of repeated labels the worst counts). Half
-    of a sample of at most 2 * ``trusted`` of them, by a hash of the id, fits the model, the other
-    half gives the quantiles; documents, scores and thresholds cover all rows.
+    Trusted rows are those labelled quality 1 and toxic 0 (of repeated labels the worst counts). By a
+    hash of the id, half of each language's, or about ``trusted`` where half are more, fit its model,
+    and all others give its quantiles; documents, scores and thresholds cover all rows.
 
     A null or empty text has null perplexity and is kept. Documents whose language (null is
     one) has no trusted rows have null perplexity or threshold and are kept. Repeated rows are scored

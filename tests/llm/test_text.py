@@ -161,6 +161,17 @@ def test_classifier(spark):
     assert not quality_classifier(docs.limit(0), labels).count()
 
 
+def test_classifier_languages(spark):
+    """A language with a tiny share of the labels is fitted and judged too; the quantiles are of all rows not fitted."""
+    rng = random.Random(7)
+    good = lambda: " ".join(rng.choice(["the", "and", "there", "then", "that"]) for _ in range(60))
+    rows = [(i, good(), "xx" if i % 100 == 7 else "en") for i in range(1000)] + [(k, "#xq** zzk qqv " * 20, "xx" if k % 2 else "en") for k in (2000, 2001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1000)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_classifier(docs, labels, trusted=8).collect()}
+    assert all(r["perplexity"] and r["threshold"] for r in got.values()) and not got[2000]["kept"] and not got[2001]["kept"]
+
+
 def test_counts(spark):
     def plain(t):
         t = t or ""
