@@ -210,7 +210,7 @@ class Scorer:
 
 #: Letters of average text that every document is taken to have besides its own, so that short
 #: texts are not judged by a few letters; and how wide a band is, in half-widths of the middle 80 %.
-PRIOR_LETTERS, WIDTH = 60, 16
+PRIOR_LETTERS, WIDTH = 60, 4
 
 
 def bands(scores: DataFrame, width: float = WIDTH) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The model is counted on labelled rows of good quality. Spark adds up its n-grams in shards by their
 oldest symbol, and every document is scored against its language's model, which is broadcast. A document
-is rejected when its perplexity lies beyond its language's quantiles of trusted text.
+is rejected when its perplexity lies outside its language's band, which is made of the ten-percent, median
+and ninety-percent quantiles of trusted text (see ``bands``).
 """
 
 from __future__ import annotations
@@ -51,17 +52,22 @@ def classified(docs: DataFrame, labels: DataFrame, columns: list[str], trusted:
     fitted = models(tables.keep(counted(chosen), "counts"))
     scorers = spark.sparkContext.broadcast({lang: Scorer(m) for lang, m in fitted.items()})
     scores = tables.keep(scored(docs.select("doc_id", "lang", "text"), scorers, ["doc_id", "lang"]), "scores")
-    limits = bands(scores.join(split.where("NOT fit"), ours).select("lang", "score"))
-    limits = tables.keep(limits.select(F.col("lang").alias("of"), F.col("high")), "limits")
+    seen = tables.keep(scores.join(split, ours).select("lang", "score", "fit"), "seen")
+    # fitted rows score lower than others, so that the lower limit is taken from all trusted rows
+    low = bands(seen).select(F.col("lang").alias("low_of"), "low")
+    limits = bands(seen.where("NOT fit")).select(F.col("lang").alias("of"), "high")
+    limits = tables.keep(limits.join(low, F.col("of").eqNullSafe(F.col("low_of"))).select("of", "low", "high"), "limits")
     out = scores if set(columns) <= {"doc_id", "lang"} else scored(docs, scorers, list(dict.fromkeys([*columns, "lang", "text"])))
     out = out.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("of")), "left")
     perplexity, threshold = F.pow(F.lit(2.0), F.col("score")), F.pow(F.lit(2.0), F.col("high"))
-    return out.select(*columns, perplexity.alias("perplexity"), threshold.alias("threshold"), F.coalesce(F.col("score") <= F.col("high"), F.lit(True)).alias("kept"))
+    return out.select(*columns, perplexity.alias("perplexity"), threshold.alias("threshold"), F.coalesce(F.col("score").between(F.col("low"), F.col("high")), F.lit(True)).alias("kept"))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
     """doc_id, lang, perplexity (a letter), threshold, kept.
 
+    The threshold is the upper limit of the band; a document below the lower one is not kept either.
+
     Trusted rows are those labelled quality 1 and toxic 0 (of repeated labels the worst counts). By a
     hash of the id, half of each language's, or about ``trusted`` where half are more, fit its model,
     and all others give its quantiles; documents, scores and thresholds cover all rows.

@@ -172,6 +172,22 @@ def test_classifier_languages(spark):
     assert all(r["perplexity"] and r["threshold"] for r in got.values()) and not got[2000]["kept"] and not got[2001]["kept"]
 
 
+def test_bands(spark, sf):
+    """Junk of a few common words has a low perplexity: both queries reject it, and the classifier keeps trusted text."""
+    d = sf.replace("sf0.001", "sf0.01")
+    rng = random.Random(3)
+    junk = [(10**9, "en", "the " * 300)] + [(10**9 + k, "en", " ".join(rng.choice(["the", "and", "that", "this", "then"]) for _ in range(60))) for k in (1, 2)]
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "text").unionByName(spark.createDataFrame(junk, "doc_id long, lang string, text string"))
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    got = {r["doc_id"]: r["kept"] for r in quality_classifier(docs, labels).collect()}
+    assert not any(got[i] for i, *_ in junk)
+    good = {r["doc_id"] for r in labels.where("quality = 1 AND toxic = 0").collect()} - {r["doc_id"] for r in labels.where("quality = 0 OR toxic = 1").collect()}
+    good &= got.keys()
+    assert sum(got[i] for i in good) > 0.95 * len(good)
+    rules = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert not any(rules[i]["kept"] for i, *_ in junk) and not rules[10**9 + 1]["base_failed"]
+
+
 def test_counts(spark):
     def plain(t):
         t = t or ""
