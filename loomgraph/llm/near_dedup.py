@@ -1,34 +1,37 @@
 """MinHash near-dedup by an inverted join of signature coordinates.
 
 Documents with equal shingle sets form one class. A class is posted under each of its
-(coordinate, value) pairs. Pairs that one class alone holds can match nothing: a class with fewer
+(coordinate, value) pairs. A pair that one class alone holds can match nothing: a class with fewer
 than ``matches`` shared pairs is skipped, and of the others only the rarest pairs are posted, of
-which two classes with enough matches must share one (prefix filter). Posting lists are then merged
-in rounds: each list names a centre and its members are held against it; members that are already
-connected with it are skipped. What is left between components at the end is taken list
-by list. Collisions of a pair are counted over all coordinates, and pairs with ``matches`` or more
-are retained. Every link is confirmed on full shingle sets.
+which two classes with enough matches must share one (prefix filter).
+
+Posting lists are merged in two rounds. In the first, each list names a centre, and its members are
+counted against that centre alone, so that a group of copies becomes one component at a linear cost.
+In the second, lists that still hold several components are merged: collisions of two members are
+counted over all coordinates, members of one component are skipped, and pairs with ``matches`` or
+more are retained, each by the first list that both are posted in. Lists are dealt in blocks of a
+bounded size. Every link is confirmed on full shingle sets, in the tasks of the lists.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import GOLDEN, MIX_A, Tables, documents, mix64
+from .shared import GOLDEN, MIX_A, Tables, documents, mix64, unused
 from .words import word_values
 
-#: Members of a posting list that one task holds.
-LIST = 1500
-#: Rounds of centres at most. They end when at most FEW pairs a posted row are left between
-#: components and the last round found less than a link for SLOW posted rows, or none.
-ROUNDS, FEW, SLOW = 12, 16, 200
+#: Members of a list, and shingles of their sets, that make a block of it. A task holds two blocks.
+LIST, SETS = 2000, 2_000_000
+#: Bits of the sieve through which texts go before they are exchanged.
+SIEVE = 1 << 25
 
 
 def shingles(values: np.ndarray, size: int) -> np.ndarray:
@@ -52,174 +55,242 @@ def seeds(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, cid (from the whole set), posts (coordinate and value in one number)."""
+    """doc_id, text_hash, n_shingles, cid (from the whole set), sig (the least hash of each coordinate)."""
 
     def run(batches):
         shift, factor = seeds(coordinates)
-        coordinate = np.arange(coordinates, dtype=np.uint64) << np.uint64(32)
         for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
-            n, cid, posts = [], [], []
+            n, cid, sig = [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), size):
                 n.append(len(s))
                 cid.append(int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True) if len(s) else None)
-                posts.append((((s[:, None] ^ shift) * factor >> np.uint64(32)).min(axis=0) | coordinate).astype(np.int64) if len(s) else None)
+                sig.append(least(s, shift, factor) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(posts, pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "n_shingles", "cid", "posts"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(sig, pa.list_(pa.int32()))],
+                ["doc_id", "text_hash", "n_shingles", "cid", "sig"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, cid long, posts array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, cid long, sig array<int>")
 
 
-def shrunk(texts: DataFrame) -> DataFrame:
-    """(cid, text) with texts compressed, as they move more than once."""
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
-    def run(batches):
-        for batch in batches:
-            pack = zstandard.ZstdCompressor(level=3).compress
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([pack(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["cid", "text"])
 
-    return texts.mapInArrow(run, "cid long, text binary")
+def least(values: np.ndarray, shift: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """The signature of a set; long sets go piece by piece."""
+    out = np.full(len(shift), np.uint64(2**64 - 1))
+    for k in range(0, len(values), 4096):
+        np.minimum(out, ((values[k : k + 4096, None] ^ shift) * factor >> np.uint64(32)).min(axis=0), out=out)
+    return out.astype(np.uint32).view(np.int32)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes, those with 100 * intersection >= percent * union of the full sets."""
+def posting_lists(leads: DataFrame, matches: int) -> DataFrame:
+    """(token, cid, n, posted): the lists of two and more classes; posted has a bit for each coordinate of the prefix."""
+    token = F.expr("shiftleft(CAST(k AS bigint), 32) | (CAST(v AS bigint) & 4294967295)")
+    tokens = leads.select("cid", "n", F.posexplode("sig").alias("k", "v")).select("cid", "n", token.alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    shared = tokens.join(often, "token").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("shared")).where(F.size("shared") >= matches)
+    prefix = shared.select("cid", "n", F.transform(F.slice("shared", 1, F.size("shared") - F.lit(matches - 1)), lambda x: x.token).alias("tokens"))
+    bits = F.expr("aggregate(tokens, 0L, (bits, t) -> bits | shiftleft(1L, CAST(shiftright(t, 32) AS int)))")
+    return prefix.select("cid", "n", bits.alias("posted"), F.explode("tokens").alias("token"))
 
-    def run(batches):
-        known: dict[int, np.ndarray] = {}
-        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
-            got = batch.to_pydict()
-            fresh = {c: t for side in "ab" for c, t in zip(got[side], got[f"text_{side}"]) if c not in known}
-            if len(known) > 2000:
-                known = {c: s for c, s in known.items() if c in set(got["a"]) | set(got["b"])}
-                fresh |= {c: t for side in "ab" for c, t in zip(got[side], got[f"text_{side}"]) if c not in known}
-            unpack = zstandard.ZstdDecompressor().decompress
-            known |= dict(zip(fresh, shingle_sets([unpack(t).decode() for t in fresh.values()], size)))
-            good = []
-            for a, b in zip(got["a"], got["b"]):
-                x, y = known[a], known[b]
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    good.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in good], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    left = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def relabelled(tables: Tables, state: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after links (a, b) between classes; state: (cid, label)."""
-    label = lambda side: state.select(F.col("cid").alias(side), F.col("label").alias(f"label_{side}"))
-    over = links.join(label("a"), "a").join(label("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    moved = components(tables, over).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return tables.keep(state.join(moved, "label", "left").select("cid", F.coalesce("to", "label").alias("label")), "state")
-
-
-def retained(pairs: DataFrame, marks: DataFrame, percent: int, matches: int) -> DataFrame:
-    """Of pairs (a, b) those whose set sizes can give ``percent`` and of whose coordinates ``matches`` collide.
-
-    marks: (cid, n, mark); a mark holds seven bits of each coordinate, so that no collision is missed.
-    """
-    own = lambda k: marks.select(F.col("cid").alias(k), F.col("n").alias(f"n_{k}"), F.col("mark").alias(f"mark_{k}"))
-    met = pairs.join(own("a"), "a").join(own("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    same = F.size(F.filter(F.zip_with("mark_a", "mark_b", lambda x, y: x == y), lambda x: x))
-    return met.where(same >= matches).select("a", "b")
-
-
-def merged_lists(tables: Tables, lists: DataFrame, marks: DataFrame, texts: DataFrame, size: int, percent: int, matches: int) -> DataFrame:
-    """(cid, label) for the classes of the posting lists (token, cid, n)."""
-    state = tables.keep(lists.select("cid").distinct().withColumn("label", F.col("cid")), "state")
-    links = lambda pairs: tables.keep(confirmed(retained(pairs, marks, percent, matches), texts, size, percent), "found")
-    gained = 1
-    for k in range(ROUNDS + 1):
-        open_lists = lists.join(state, "cid")
-        mixed = open_lists.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("labels"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("same")).where("labels > 1")
-        mixed = tables.keep(mixed, "mixed")
-        found = mixed.agg(F.count("*"), F.sum((F.col("size") * F.col("size") - F.col("same")) / 2), F.sum("size")).first()
-        if not found[0]:
-            return state
-        open_lists = open_lists.join(mixed.select("token"), "token")
-        if k == ROUNDS or k and found[1] <= FEW * found[2] and gained < found[2] // SLOW or not gained:
-            return relabelled(tables, state, tables.keep(between(open_lists, marks, texts, size, percent, matches), "left"))
-        # one centre a list, the same for as many lists as can be: the smallest by a hash of this round
-        draw = F.xxhash64(F.col("cid"), F.lit(k))
-        centre = open_lists.groupBy("token").agg(F.min(F.struct(draw.alias("h"), F.col("cid").alias("centre"), F.col("label").alias("centre_label"))).alias("c")).select("token", "c.centre", "c.centre_label")
-        pairs = open_lists.join(centre, "token").where("label <> centre_label").groupBy("cid", "centre", "label", "centre_label").agg(F.count("*").alias("times"))
-        one = pairs.groupBy("cid", "label").agg(F.max(F.struct("times", "centre", "centre_label")).alias("best")).select("cid", "label", "best.centre", "best.centre_label")
-        if k:  # a few members speak for each pair of components
-            low, high = F.least("label", "centre_label"), F.greatest("label", "centre_label")
-            some = one.groupBy(low.alias("low"), high.alias("high"), F.pmod(F.xxhash64("cid", F.lit(k)), F.lit(8)).alias("lot")).agg(F.min(F.struct("cid", "centre")).alias("p"))
-            one = some.select("p.cid", "p.centre")
-        new_links = links(one.select(F.col("centre").alias("a"), F.col("cid").alias("b")))
-        gained = new_links.count()
-        new = relabelled(tables, state, new_links)
-        for old in (state, mixed, new_links):
-            tables.drop(old)
-        state = new
-    return state
-
-
-def between(open_lists: DataFrame, marks: DataFrame, texts: DataFrame, size: int, percent: int, matches: int) -> DataFrame:
-    """Links (a, b) between components that share a list; of two components at least one where there is any.
-
-    A list's members come together with their texts. Long lists are dealt in blocks: members outside
-    the list's largest component meet one another and the largest component, block by block, so that
-    a task holds at most about LIST members. A pair is held in the first list that both are in.
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by ``key`` as tables that hold each key's rows whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column("key").to_numpy()
+        if not len(keys):
+            continue
+        if held and held[-1].column("key")[-1].as_py() == keys[0] == keys[-1]:
+            held.append(batch)
+            continue
+        cut = int(np.searchsorted(keys, keys[-1]))
+        yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def counted(table: pa.Table, percent: int, matches: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y) of retained pairs in rows sorted by key and set size.
+
+    A pair is retained when its sizes can give ``percent``, its components differ, ``matches``
+    coordinates collide, and no earlier list holds both.
     """
-    sums = open_lists.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("total"))
-    sums = sums.select("token", F.col("m.label").alias("main"), F.expr(f"total <= {LIST}").alias("whole"), F.expr(f"CAST(ceil((total - m.n) / {LIST // 2}) AS int)").alias("others"), F.expr(f"CAST(ceil(m.n / {LIST // 2}) AS int)").alias("mains"))
-    task = "named_struct('kind', {}, 'i', CAST({} AS int), 'j', CAST({} AS int), 'side', {})"
-    rows = open_lists.join(sums, "token").withColumn("other", F.col("label") != F.col("main"))
-    rows = rows.withColumn("b", F.expr("CAST(pmod(xxhash64(cid), IF(other, others, mains)) AS int)"))
-    tasks = f"""CASE WHEN whole THEN array({task.format(0, 0, 0, 0)})
-        WHEN other THEN concat(transform(sequence(0, others - 1), x -> {task.format(1, 'least(b, x)', 'greatest(b, x)', 0)}), transform(sequence(0, mains - 1), x -> {task.format(2, 'b', 'x', 0)}))
-        ELSE transform(sequence(0, others - 1), x -> {task.format(2, 'x', 'b', 1)}) END"""
-    dealt = rows.select("token", "cid", "label", F.explode(F.expr(tasks)).alias("t")).select("token", "cid", "label", "t.*")
-    dealt = dealt.join(marks.join(texts, "cid"), "cid")
-
-    def hold(table: pa.Table) -> pa.Table:
-        got = table.to_pydict()
-        token, two = got["token"][0], got["kind"][0] == 2
-        n, side = np.array(got["n"]), np.array(got["side"])
-        marks_ = np.array(got["mark"], np.int8)
-        lists_ = [set(x) for x in got["tokens"]]
-        roots = {x: x for x in got["label"]}
-        sets: dict[int, np.ndarray] = {}
-
-        def root(x: int) -> int:
-            while roots[x] != x:
-                roots[x] = x = roots[roots[x]]
-            return x
-
-        def set_of(k: int) -> np.ndarray:
-            if k not in sets:
-                sets[k] = shingle_sets([zstandard.ZstdDecompressor().decompress(got["text"][k]).decode()], size)[0]
-            return sets[k]
-
-        found = []
-        order = np.argsort(n, kind="stable")
-        for at, x in enumerate(order):
-            later = order[at + 1 :]
-            later = later[100 * n[x] >= percent * n[later]]
-            if two:
-                later = later[side[later] != side[x]]
-            if not len(later):
+    key, n, label, block, posted, k = (table.column(c).to_numpy() for c in ("key", "n", "label", "block", "posted", "k"))
+    sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+    bits = (posted.view(np.uint64)[:, None] >> np.arange(sig.shape[1], dtype=np.uint64) & np.uint64(1)).astype(bool)
+    alone = table.column("alone").to_numpy(zero_copy_only=False)
+    stop = np.searchsorted(key, key, side="right")
+    xs, ys = [], []
+    x, step = np.arange(len(key)), 0
+    while True:
+        step += 1
+        x = x[x + step < stop[x]]
+        x = x[100 * n[x] >= percent * n[x + step]]
+        if not len(x):
+            break
+        apart = x[(label[x] != label[x + step]) & (alone[x] | (block[x] != block[x + step]))]
+        for at in range(0, len(apart), 20_000):
+            a = apart[at : at + 20_000]
+            same = sig[a] == sig[a + step]
+            good = np.flatnonzero(same.sum(axis=1) >= matches)
+            a, same = a[good], same[good]
+            first = (same & bits[a] & bits[a + step]).argmax(axis=1)
+            a = a[first == k[a]]
+            xs.append(a)
+            ys.append(a + step)
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(xs), np.concatenate(ys)) if xs else (none, none)
+
+
+ASKED = "key long, cid long, own_id long, own_hash long, label long, partners binary"
+
+
+def asked_rows(table: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """A row for each member of a pair: the partners that it is held against."""
+    cid = table.column("cid").to_numpy()
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    who = np.union1d(x, y)
+    edges = np.searchsorted(x, np.append(who, len(cid)))
+    partners = [cid[y[i:j]].tobytes() for i, j in zip(edges[:-1], edges[1:])]
+    names = ["key", "cid", "own_id", "own_hash", "label"]
+    columns = [table.column(c).take(pa.array(who)).combine_chunks() for c in names]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(partners, pa.binary())], [*names, "partners"])
+
+
+def linked(table: pa.Table, size: int, percent: int) -> list[tuple[int, int]]:
+    """Links between the labels of one key's members; of two components one link."""
+    cid, label = table.column("cid").to_numpy(), table.column("label").to_pylist()
+    cid, first = np.unique(cid, return_index=True)
+    unpack = zstandard.ZstdDecompressor().decompress
+    packs = table.column("pack").take(first).to_pylist()
+    sets = shingle_sets([unpack(p).decode() for p in packs], size)
+    sizes = np.array([len(s) for s in sets])
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    sets = np.split(number, np.cumsum(sizes)[:-1])
+    label = [label[i] for i in first.tolist()]
+    roots = {x: x for x in label}
+
+    def root(x: int) -> int:
+        while roots[x] != x:
+            roots[x] = x = roots[roots[x]]
+        return x
+
+    member = np.zeros(len(number), bool)
+    partners: dict[int, list[np.ndarray]] = {}
+    for c, p in zip(table.column("cid").to_pylist(), table.column("partners").to_pylist()):
+        if p:
+            partners.setdefault(int(np.searchsorted(cid, c)), []).append(np.searchsorted(cid, np.frombuffer(p, np.int64)))
+    found = []
+    for x, lots in partners.items():
+        member[sets[x]] = True
+        for lot in np.array_split(np.concatenate(lots), max(1, sum(map(len, lots)) // 256)):
+            own = root(label[x])
+            left = [y for y in lot.tolist() if root(label[y]) != own]
+            if not left:
                 continue
-            later = later[(marks_[later] == marks_[x]).sum(axis=1) >= matches]
-            for y in later.tolist():
-                if root(got["label"][x]) == root(got["label"][y]) or min(lists_[x] & lists_[y]) != token:
-                    continue
-                a, b = set_of(int(x)), set_of(y)
-                both = len(a) + len(b) - len(np.union1d(a, b))
-                if 100 * both >= percent * (len(a) + len(b) - both):
-                    found.append((got["cid"][x], got["cid"][y]))
-                    roots[root(got["label"][x])] = root(got["label"][y])
-        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            hits = member[np.concatenate([sets[y] for y in left])]
+            both = np.add.reduceat(hits, np.cumsum(sizes[left]) - sizes[left], dtype=np.int64)
+            for y in np.array(left)[100 * both >= percent * (sizes[x] + sizes[left] - both)].tolist():
+                a, b = root(label[x]), root(label[y])
+                if a != b:
+                    found.append((label[x], label[y]))
+                    roots[b] = a
+        member[sets[x]] = False
+    return found
+
+
+def sieve(rows: DataFrame) -> np.ndarray:
+    """A bit for each hash, modulo SIEVE, that the rows ask for. Its size is the same for any number of rows."""
+    asked = rows.select((F.pmod(F.xxhash64("own_id", "own_hash"), F.lit(SIEVE)) + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("part"))
+    out = np.zeros((SIEVE >> 15, 4096), np.uint8)
+    for part, bits in asked.agg(F.bitmap_construct_agg(F.bitmap_bit_position("h"))).collect():
+        out[part - 1] = np.frombuffer(bytes(bits), np.uint8)
+    return out.ravel()
+
+
+def confirmed(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between labels, of the pairs that ``rows`` asks for, from full sets.
+
+    rows: see ASKED. A key's members come together with their texts, which are sieved and
+    compressed before they move.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(sieve(rows))
+
+    def pack(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            batch = batch.filter(pa.array((wanted.value[h >> 3] >> (h & 7) & 1).astype(bool)))
+            packs = [squeeze((t or "").encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(packs, pa.binary())], ["text_id", "text_hash", "pack"])
+
+    def hold(batches):
+        for table in grouped(batches):
+            keys = table.column("key").to_numpy()
+            edges = np.unique(np.concatenate(([0, len(keys)], np.flatnonzero(np.diff(keys)) + 1))).tolist()
+            links = [x for i, j in zip(edges[:-1], edges[1:]) for x in linked(table.slice(i, j - i), size, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    whole = keyed(docs).withColumn("h", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SIEVE)))
+    texts = whole.mapInArrow(pack, "text_id long, text_hash long, pack binary")
+    met = rows.join(texts, F.col("own_id").eqNullSafe(F.col("text_id")) & (F.col("own_hash") == F.col("text_hash")))
+    met = met.select("key", "cid", "label", "partners", "pack").repartition("key").sortWithinPartitions("key", "cid")
+    return met.mapInArrow(hold, "a long, b long")
+
+
+def blocks_of(members: Column, shingles: Column) -> Column:
+    """In how many blocks a list is dealt."""
+    return F.ceil(F.greatest(members / F.lit(LIST), shingles / F.lit(SETS))).cast("int")
+
+
+def stars(lists: DataFrame, leads: DataFrame, percent: int, matches: int) -> DataFrame:
+    """The first round: each list's members against its centre, where sizes and collisions can give a link.
+
+    The centre is the least by a hash of the class, so that lists of one group name the same one.
+    """
+    centre = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("c")).select("token", F.col("c.cid").alias("centre"))
+    pairs = lists.select("token", "cid").join(centre, "token").where("cid <> centre").select("cid", "centre").distinct()
+    own = leads.select("cid", "n", "sig", "own_id", "own_hash")
+    other = own.select(*(F.col(c).alias({"cid": "centre"}.get(c, f"centre_{c}")) for c in own.columns))
+    met = pairs.join(own, "cid").join(other, "centre").where(100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n"))
+    same = F.size(F.filter(F.zip_with("sig", "centre_sig", lambda x, y: x == y), lambda x: x))
+    return met.where(same >= matches).drop("sig", "centre_sig")
+
+
+def star_rows(met: DataFrame) -> DataFrame:
+    """Kept ``stars`` as rows for ``confirmed``; a centre's members are dealt in blocks."""
+    dealt = met.groupBy("centre").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks"))
+    met = met.join(dealt, "centre").withColumn("key", F.xxhash64("centre", F.pmod(F.xxhash64("cid"), F.col("blocks"))))
+    # the centre as eight bytes, lowest first
+    number = F.unhex(F.expr("concat_ws('', transform(sequence(0, 7), i -> lpad(hex(shiftrightunsigned(centre, 8 * i) & 255), 2, '0')))"))
+    members = met.select("key", "cid", "own_id", "own_hash", F.col("cid").alias("label"), number.alias("partners"))
+    own = [F.col("centre").alias("cid"), F.col("centre_own_id").alias("own_id"), F.col("centre_own_hash").alias("own_hash"), F.col("centre").alias("label")]
+    return members.unionByName(met.select("key", *own, F.unhex(F.lit("")).alias("partners")).distinct())
+
+
+def crossed(lists: DataFrame, leads: DataFrame, state: DataFrame, percent: int, matches: int) -> DataFrame:
+    """The second round's rows for ``confirmed``: retained pairs between components, list by list."""
+    open_lists = lists.join(state, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    mixed = open_lists.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), blocks_of(F.count("*"), F.sum("n")).alias("blocks")).where("low <> high")
+    rows = open_lists.join(mixed.select("token", "blocks"), "token").withColumn("block", F.expr("CAST(pmod(xxhash64(cid), blocks) AS int)"))
+    rows = rows.withColumn("x", F.explode(F.expr("sequence(0, blocks - 1)")))
+    key = F.xxhash64("token", F.least("block", "x"), F.greatest("block", "x"))
+    rows = rows.select(key.alias("key"), "cid", "n", "label", "posted", F.shiftright("token", 32).cast("int").alias("k"), "block", "blocks", "x")
+    # a task of one block meets all its pairs, a task of two those between the blocks
+    rows = rows.withColumn("alone", F.col("block") == F.col("x")).drop("x", "blocks")
+    rows = rows.join(leads.select("cid", "sig", "own_id", "own_hash"), "cid").repartition("key").sortWithinPartitions("key", "n", "cid")
+
+    def run(batches):
+        for table in grouped(batches):
+            if table.num_rows:
+                yield asked_rows(table, *counted(table, percent, matches))
 
-    return dealt.groupBy("token", "kind", "i", "j").applyInArrow(hold, "a long, b long")
+    return rows.mapInArrow(run, ASKED)
 
 
 def minhash_near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 24) -> DataFrame:
@@ -232,8 +303,9 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Repeated rows of such a document all stay: they are one document. Rows without words stay.
     """
-    gone = near_rows(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & F.xxhash64("text").eqNullSafe(F.col("gone_hash"))
+    gone_id, gone_hash = unused(docs, "gone_id", "gone_hash")
+    gone = near_rows(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & F.xxhash64("text").eqNullSafe(F.col(gone_hash))
     return docs.join(gone, same, "left_anti")
 
 
@@ -252,28 +324,20 @@ def near_rows(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: in
     tables = Tables(docs.sparkSession)
     rows = tables.keep(signed(docs, size, coordinates), "signed")
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    leads = tables.keep(rows.where("cid IS NOT NULL").groupBy("cid").agg(lead.alias("lead"), F.any_value("posts").alias("posts"), F.any_value("n_shingles").alias("n")), "leads")
-    classes = leads.select("cid", F.col("lead.doc_id").alias("first_id"), F.col("lead.text_hash").alias("text_hash"))
-    posted = leads.select("cid", F.explode("posts").alias("token"))
-    often = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    ranked = posted.join(often, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct(F.col("n").alias("often"), "token"))).alias("shared")).where(F.size("shared") >= matches)
-    ranked = tables.keep(ranked.select("cid", F.transform(F.slice("shared", 1, F.size("shared") - F.lit(matches - 1)), lambda x: x.token).alias("tokens")), "prefix")
-    lists = ranked.select("cid", F.explode("tokens").alias("token"))
-    alone = lists.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    lists = lists.join(alone, "token")
-    asked = tables.keep(lists.select("cid").distinct(), "asked")
-    mark = F.transform("posts", lambda x: x.bitwiseAND(127).cast("byte"))
-    marks = tables.keep(leads.join(asked, "cid").join(ranked, "cid").select("cid", "n", mark.alias("mark"), "tokens"), "marks")
-    lists = tables.keep(lists.join(marks.select("cid", "n"), "cid"), "lists")
-    wanted = asked.join(classes, "cid")
-    whole = docs.select(F.col("doc_id").cast("long").alias("own_id"), "text", F.xxhash64("text").alias("own_hash"))
-    texts = whole.join(wanted, F.col("own_id").eqNullSafe(F.col("first_id")) & (F.col("own_hash") == F.col("text_hash")))
-    texts = tables.keep(shrunk(texts.dropDuplicates(["cid"]).select("cid", "text")), "texts")
-    state = merged_lists(tables, lists, marks, texts, size, percent, matches)
-    named = classes.join(state, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    ids = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    leads = rows.where("cid IS NOT NULL").groupBy("cid").agg(lead.alias("lead"), F.any_value("sig").alias("sig"), F.any_value("n_shingles").alias("n"))
+    leads = tables.keep(leads.select("cid", "n", "sig", F.col("lead.doc_id").alias("own_id"), F.col("lead.text_hash").alias("own_hash")), "leads")
+    prefix = tables.keep(posting_lists(leads, matches), "prefix")
+    often = prefix.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token")
+    lists = tables.keep(prefix.join(often, "token"), "lists")
+    met = tables.keep(stars(lists, leads, percent, matches), "stars")
+    state = components(tables, tables.keep(confirmed(star_rows(met), docs, size, percent), "links")).select(F.col("node").alias("cid"), "label")
+    asked = tables.keep(crossed(lists, leads, state, percent, matches), "asked")
+    over = components(tables, tables.keep(confirmed(asked, docs, size, percent), "links")).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    named = leads.select("cid", "own_id").join(state, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    named = named.join(over, "label", "left").select("cid", "own_id", F.coalesce("to", "label").alias("label"))
+    ids = named.groupBy("label").agg(F.min("own_id").alias("component_id"))
     named = tables.keep(named.join(ids, "label").select("cid", "component_id"), "named")
-    for old in (leads, ranked, asked, marks, lists, texts, state):
+    for old in (leads, prefix, lists, met, asked):
         tables.drop(old)
     out = rows.select("doc_id", "text_hash", "n_shingles", "cid").join(named, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -73,6 +73,17 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that df does not have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def parts_for(total: int, each: int) -> int:
     """How many parts of about ``each`` bytes hold ``total`` bytes."""
     return max(1, math.ceil(total / each))

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from loomgraph.llm import near_dedup
 from loomgraph.llm.near_dedup import minhash_near_dedup, one_of_each
 from loomgraph.llm.substring_dedup import shard, substring_dedup
 from loomgraph.llm.suffix_dedup import suffix_array_dedup
@@ -126,16 +127,21 @@ def test_near(spark, size):
     assert got == similar(rows, size)
 
 
-def test_near_family(spark):
-    """Many variants of one text, most of them too far from one another to be linked."""
-    rng = random.Random(5)
+def family(seed: int, n: int) -> list[tuple[int, str]]:
+    """Variants of one text, most of them too far from one another to be linked."""
+    rng = random.Random(seed)
     base = [f"w{k}" for k in range(60)]
     rows = []
-    for i in range(120):
+    for i in range(n):
         words = list(base)
         for k in rng.sample(range(60), rng.choice([1, 2, 5, 8])):
             words[k] = f"v{rng.randrange(1000)}"
         rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_near_family(spark):
+    rows = family(5, 120)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_near_dedup(frame(spark, rows), size=2).collect()}
     assert got == similar(rows, 2)
 
@@ -149,3 +155,19 @@ def test_one_of_each(spark):
 def test_empty(spark):
     none = frame(spark, [])
     assert not suffix_array_dedup(none).count() and not substring_dedup(none).count() and not minhash_near_dedup(none).count()
+
+
+def test_near_blocks(spark, monkeypatch):
+    """Lists and centres in many blocks give the links that one block gives."""
+    rows = family(7, 150)
+    want = similar(rows, 2)
+    for size in (100_000, 40, 7):
+        monkeypatch.setattr(near_dedup, "LIST", size)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_near_dedup(frame(spark, rows), size=2).collect()}
+        assert got == want
+
+
+def test_one_of_each_keeps_clashing_columns(spark):
+    rows = [(1, "a b c", "x", 1), (2, "a b c", "y", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id string, Gone_Hash int")
+    assert [tuple(r) for r in one_of_each(docs).collect()] == rows[:1]
