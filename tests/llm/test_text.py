@@ -3,6 +3,8 @@ import hashlib
 import io
 import math
 import random
+import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -78,18 +80,84 @@ def test_mix(spark):
 # --- pieces ---------------------------------------------------------------------------------------
 
 
+def split(ids, counts):
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
 def test_pieces(spark, sf):
-    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(40).collect()] + ODD
+    texts = ODD + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(200).collect()]
     rows = np.arange(len(texts), dtype=np.uint64)
     vocab = sentencepieces.vocabulary(sentencepieces.MODEL)
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
-    plain = sentencepieces.Encoder(*vocab, 0.0, 1).encode(texts, rows)
+    plain = split(*sentencepieces.Encoder(*vocab, 0.0, 1).encode(texts, rows))
     assert [a == library.encode(t) for a, t in zip(plain, texts) if "▁" not in t] == [True] * sum("▁" not in t for t in texts)
     one, same, two = (sentencepieces.Encoder(*vocab, 0.2, seed) for seed in (1, 1, 2))
-    dropped = one.encode(texts, rows)
-    assert dropped == same.encode(texts, rows) and dropped != two.encode(texts, rows)
+    dropped = split(*one.encode(texts, rows))
+    assert dropped == split(*same.encode(texts, rows)) and dropped != split(*two.encode(texts, rows))
     assert sum(map(len, dropped)) > sum(map(len, plain))
-    assert [one.decode(i) for i in dropped] == texts
+    assert [one.decode(i) for i in dropped] == [f" {t}".encode() if t else b"" for t in texts]
+
+
+def mixed(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ x >> shift) * factor % 2**64
+    return x
+
+
+def plain_pieces(text, row, pieces, scores, byte_ids, rate, seed):
+    """The agenda of each chunk walked over plain lists, one candidate at a time."""
+    golden, other = 0x9E3779B97F4A7C15, 0x94D049BB133111EB
+    ids = {p: i for i, p in enumerate(pieces) if p and i not in byte_ids}
+    text, out = (" " + text if text else ""), []
+    for m in re.finditer("\n|\u2581| *[^ \n\u2581]+| +", text):
+        s = [c if c != " " else "\u2581" for c in m[0]]
+        literal = m[0] == "\u2581"
+        draw = mixed((mixed((row + mixed(seed * golden % 2**64)) % 2**64) + m.start() * golden) % 2**64)
+        gap = lambda turn: int(math.log(((mixed((draw + turn * other) % 2**64) if turn else draw) // 2048 + 1) / 2**53) / math.log1p(-rate))
+        passed, seen, turn, skip = [False] * len(s), 0, 0, gap(0)
+        while not literal:
+            open_ = [(-scores[ids[s[k] + s[k + 1]]], k) for k in range(len(s) - 1) if not passed[k] and s[k] in ids and s[k + 1] in ids and s[k] + s[k + 1] in ids]
+            if not open_:
+                break
+            k = min(open_)[1]
+            if seen == skip:
+                passed[k], turn = True, turn + 1
+                skip += 1 + gap(turn)
+            else:
+                s[k : k + 2] = [s[k] + s[k + 1]]
+                del passed[k]
+                passed[k] = False
+                if k:
+                    passed[k - 1] = False
+            seen += 1
+        for x in s:
+            out += [ids[x]] if x in ids and not literal else [byte_ids[b] for b in x.encode()]
+    return out
+
+
+@pytest.mark.parametrize(("rate", "wide", "lot"), [(0.1, 48, 1 << 20), (0.4, 4, 50), (0.9, 48, 7)])
+def test_dropout_is_a_draw_for_each_occurrence(monkeypatch, rate, wide, lot):
+    monkeypatch.setattr(sentencepieces, "WIDE", wide)
+    monkeypatch.setattr(sentencepieces, "LOT", lot)
+    rng = random.Random(3)
+    words = ["the", "nation", "information", "tables", "x" * 9, "übergänge", "日本語", "\n", "", "misunderstandings"]
+    texts = ODD + [" ".join(rng.choice(words) for _ in range(rng.randint(1, 80))) for _ in range(25)] + [" ".join(["information"] * 60)]
+    rows = [rng.randrange(2**64) for _ in texts]
+    vocab = sentencepieces.vocabulary(sentencepieces.MODEL)
+    got = split(*sentencepieces.Encoder(*vocab, rate, 5).encode(texts, np.array(rows, np.uint64)))
+    assert got == [plain_pieces(t, r, *vocab, rate, 5) for t, r in zip(texts, rows)]
+
+
+def test_a_word_of_a_million_letters():
+    """Without a space, and with the memory of its length only."""
+    rng, vocab = random.Random(1), sentencepieces.vocabulary(sentencepieces.MODEL)
+    text = "".join(rng.choice("etaoin") for _ in range(1_000_000))
+    encoder = sentencepieces.Encoder(*vocab, 0.1, 1)
+    tracemalloc.start()
+    ids, counts = encoder.encode([text, "a b"], np.arange(2, dtype=np.uint64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert encoder.decode(ids[: counts[0]]).decode() == " " + text and peak < 500e6
 
 
 def test_pieces_frame(spark):
