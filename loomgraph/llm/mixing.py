@@ -1,38 +1,42 @@
 """Mixing sources to target weights: a Pfair schedule of source blocks, earliest deadline first.
 
-A source with q of Q shares owes its k-th block (k from 0) not before slot floor(k * Q / q), the
-release, and before slot ceil((k + 1) * Q / q), the deadline. At each slot the released block with
-the earliest deadline goes out. One slot holds one block, and the shares add up to Q, so that every
-deadline is met and after t slots a source has had less than one block more or less than t * q / Q.
-The schedule repeats after Q slots; only one period is drawn up, whatever the number of documents.
+A source with weight w of W in all owes its k-th block (k from 0) not before slot floor(k * W / w),
+the release, and before slot ceil((k + 1) * W / w), the deadline. At each slot the released block
+with the earliest deadline goes out. One slot holds one block, so that every deadline is met and
+after t slots a source has had less than one block more or less than t * w / W. The schedule repeats
+after W slots; only one period is drawn up, whatever the number of documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import documents
 
-#: Shares in a period, about; rows in a block; rows in a cell of the order, about.
+#: Weights of a mix without given weights add up to about SHARES; rows in a block; rows in a cell of the order, about.
 SHARES, BLOCK, CELL = 1000, 16, 4096
+#: Given weights may add up to this, as a period has a slot for each; slots that are walked in one go.
+LONGEST, STRETCH = 1_000_000, 500
 
 
-def source_key():
+def source_key(source: str = "source") -> Column:
     """A null source is a source of its own."""
-    return F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source")))
+    return F.when(F.col(source).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(source)))
 
 
 def shares_of(sizes: DataFrame, weights: dict[str, int] | None) -> DataFrame:
-    """(src, n, q): the shares of each source of (src, n), at least one.
+    """(src, n, q): the weight of each source of (src, n).
 
-    Weights are whole numbers by source; without them the square root of a source's size.
+    Given weights are taken as they are; a source without one has 1. Without weights the targets are
+    shares of SHARES in proportion to the square root of a source's size, one at least.
     """
-    weight = F.floor(F.sqrt("n"))
     if weights:
+        if any(int(w) != w or w < 1 for w in weights.values()) or sum(weights.values()) > LONGEST:
+            raise ValueError(f"weights are whole numbers from 1 on that add up to {LONGEST} at most")
         table = F.create_map(*(x for s, w in weights.items() for x in (F.lit(f"={s}"), F.lit(int(w)))))
-        weight = F.coalesce(F.element_at(table, F.col("src")), F.lit(1))
-    weighted = sizes.withColumn("w", weight.cast("long"))
+        return sizes.select("src", "n", F.coalesce(F.element_at(table, F.col("src")), F.lit(1)).cast("long").alias("q"))
+    weighted = sizes.withColumn("w", F.floor(F.sqrt("n")).cast("long"))
     total = weighted.agg(F.sum("w").alias("all"))
     q = F.greatest(F.lit(1), F.expr(f"({SHARES} * w + all div 2) div all"))
     return weighted.join(F.broadcast(total)).select("src", "n", q.cast("long").alias("q"))
@@ -42,15 +46,20 @@ def schedule(shares: DataFrame) -> DataFrame:
     """(src, j, pos, q, period): the slot of each source's j-th block in a period.
 
     Sources are as few as a table of weights has them; one row holds them all, and SQL's own
-    aggregate() walks the slots.
+    aggregate() walks the slots, a stretch at a time.
     """
     one = shares.agg(F.array_sort(F.collect_list(F.struct("src", "q"))).alias("s")).where("size(s) > 0")
     one = one.selectExpr("s", "transform(s, x -> x.q) AS q", "aggregate(s, 0L, (a, x) -> a + x.q) AS period")
     key = "CASE WHEN st.done[i] < q[i] AND (st.done[i] * period) div q[i] <= t THEN ((st.done[i] + 1) * period + q[i] - 1) div q[i] * 1000000 + i END"
     pick = f"array_min(transform(sequence(0, size(q) - 1), i -> {key}))"
-    step = f"aggregate(array({pick} % 1000000), st, (s1, p) -> named_struct('done', transform(s1.done, (x, i) -> IF(i = p, x + 1, x)), 'picks', concat(s1.picks, array(p))))"
-    start = "named_struct('done', transform(q, x -> 0L), 'picks', CAST(array() AS array<bigint>))"
-    walked = one.selectExpr("s", "period", f"aggregate(sequence(0L, period - 1), {start}, (st, t) -> {step}).picks AS picks")
+    add = "named_struct('done', transform(s1.done, (x, i) -> IF(i = p, x + 1, x)), 'picks', concat(s1.picks, array(p)))"
+    step = f"aggregate(array({pick} % 1000000), st, (s1, p) -> {add})"
+    none = "CAST(array() AS array<bigint>)"
+    slots = f"sequence(at * {STRETCH}, least(period, (at + 1) * {STRETCH}) - 1)"
+    stretch = f"aggregate({slots}, named_struct('done', far.done, 'picks', {none}), (st, t) -> {step})"
+    walk = f"aggregate(array({stretch}), far, (f1, x) -> named_struct('done', x.done, 'lots', concat(f1.lots, array(x.picks))))"
+    start = "named_struct('done', transform(q, x -> 0L), 'lots', CAST(array() AS array<array<bigint>>))"
+    walked = one.selectExpr("s", "period", f"flatten(aggregate(sequence(0L, (period - 1) div {STRETCH}), {start}, (far, at) -> {walk}).lots) AS picks")
     slots = walked.selectExpr("s", "period", "posexplode(picks) AS (pos, i)").selectExpr("s[i].src AS src", "s[i].q AS q", "period", "CAST(pos AS long) AS pos")
     return slots.withColumn("j", F.row_number().over(Window.partitionBy("src").orderBy("pos")).cast("long") - 1)
 
@@ -58,38 +67,42 @@ def schedule(shares: DataFrame) -> DataFrame:
 def pfair_mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
     """docs with mix_block, mix_slot, mix_place and mix_balanced; in order of (mix_slot, mix_place) they are the mix.
 
-    A source's rows stand in the order of a hash of doc_id and are cut into blocks of ``block`` rows.
-    mix_balanced is true up to the slot at which the first source has no whole block left: so far
-    each source has had its target within less than one block. Later the others go on in their own
-    slots; no row is left out.
+    A source's rows stand in the order of a hash of doc_id and text and are cut into blocks of
+    ``block`` rows. mix_balanced is true up to the slot at which the first source has no whole block
+    left: so far each source has had its target within less than one block. Later the others go on
+    in their own slots; no row is left out.
 
-    Weights default to the square root of each source's size. A null source is a source. Rows with
-    equal doc_id stand in the order of their texts. Empty tables give empty results. Other columns
-    stay as they are; columns of these four names are replaced.
+    Weights are whole numbers by source, see ``shares_of``. A null source is a source; so are null
+    ids and texts values like others. Rows with equal doc_id and text are alike and stand in any
+    order. Empty tables give empty results. Other columns stay as they are, whatever their names;
+    columns of the four names above are replaced.
     """
     names = ["mix_block", "mix_slot", "mix_place", "mix_balanced"]
-    docs = docs.drop(*names)
-    keyed = docs.withColumn("mix_src", source_key()).withColumn("mix_hash", F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), 256))
+    rows = docs.drop(*names)
+    # the row's own columns are put away together, so that no work column can meet one of them
+    rows = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"))
+    value = F.concat(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce("row.text", F.lit(""))))
     sizes = docs.select(source_key().alias("src")).groupBy("src").agg(F.count("*").alias("n"))
-    cells = max(1, docs.select("doc_id").count() // CELL)
-    keyed = keyed.withColumn("mix_cell", F.expr(f"CAST(conv(substr(mix_hash, 1, 8), 16, 10) AS bigint) * {cells} div 4294967296"))
+    cells = sizes.agg(F.expr(f"greatest(1L, sum(n) div {CELL})").alias("cells"))
+    keyed = rows.select("row", source_key("row.source").alias("src"), F.sha2(value, 256).alias("hash")).join(F.broadcast(cells))
+    keyed = keyed.withColumn("cell", F.expr("CAST(conv(substr(hash, 1, 8), 16, 10) AS bigint) * cells div 4294967296")).drop("cells")
     shares = shares_of(sizes, weights)
     plan = schedule(shares)
     # the first slot of a source that has no whole block for it
     short = shares.select("src", F.expr(f"n div {block}").alias("k"))
     ends = plan.join(short, "src").where("j = k % q").agg(F.min(F.expr("k div q * period + pos")).alias("end"))
-    before = keyed.groupBy("mix_src", "mix_cell").agg(F.count("*").alias("rows"))
-    w = Window.partitionBy("mix_src").orderBy("mix_cell").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select("mix_src", "mix_cell", F.coalesce(F.sum("rows").over(w), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("mix_src", "mix_cell").orderBy("mix_hash", "doc_id", "text"))
-    ranked = keyed.withColumn("rn", place).join(before, ["mix_src", "mix_cell"]).withColumn("rank", F.col("before") + F.col("rn") - 1)
-    ranked = ranked.withColumn("mix_block", F.expr(f"rank div {block}")).withColumn("mix_place", F.expr(f"rank % {block}"))
-    # a period has at most SHARES slots and one for each source: small whatever the input
+    before = keyed.groupBy("src", "cell").agg(F.count("*").alias("rows"))
+    w = Window.partitionBy("src").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select("src", "cell", F.coalesce(F.sum("rows").over(w), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("src", "cell").orderBy("hash", "row.doc_id", "row.text"))
+    ranked = keyed.withColumn("rn", place).join(before, ["src", "cell"]).withColumn("rank", F.col("before") + F.col("rn") - 1)
+    ranked = ranked.select("row", "src", F.expr(f"rank div {block}").alias("mix_block"), F.expr(f"rank % {block}").alias("mix_place"))
+    # a period has at most LONGEST slots, a source a row: bounded whatever the input
     q = F.broadcast(shares.select(F.col("src").alias("q_src"), F.col("q").alias("own_q")))
-    out = ranked.join(q, F.col("mix_src") == F.col("q_src")).withColumn("own_j", F.expr("mix_block % own_q"))
-    out = out.join(F.broadcast(plan.select(F.col("src").alias("p_src"), "j", "pos", "period")), (F.col("mix_src") == F.col("p_src")) & (F.col("own_j") == F.col("j")))
+    out = ranked.join(q, F.col("src") == F.col("q_src")).withColumn("own_j", F.expr("mix_block % own_q"))
+    out = out.join(F.broadcast(plan.select(F.col("src").alias("p_src"), "j", "pos", "period")), (F.col("src") == F.col("p_src")) & (F.col("own_j") == F.col("j")))
     out = out.withColumn("mix_slot", F.expr("mix_block div own_q * period + pos")).join(F.broadcast(ends))
-    return out.select(*docs.columns, "mix_block", "mix_slot", "mix_place", (F.col("mix_slot") < F.col("end")).alias("mix_balanced"))
+    return out.select("row.*", "mix_block", "mix_slot", "mix_place", (F.col("mix_slot") < F.col("end")).alias("mix_balanced"))
 
 
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +115,7 @@ SQL = {
     "op4_pfair_mixing": f"""
 WITH RECURSIVE keyed AS (
   SELECT *, CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS src,
-         sha256(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents
+         sha256(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS h FROM documents
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY src ORDER BY h, doc_id NULLS FIRST, text NULLS FIRST) - 1 AS rank FROM keyed
 ), weighted AS (

@@ -77,6 +77,40 @@ def test_mix(spark):
     assert not pfair_mix(docs.limit(0)).count()
 
 
+def test_mix_keeps_to_given_weights(spark):
+    """Over ten periods of weights that 1000 shares can't express, each source is less than a block off."""
+    weights = {"a": 948, "b": 556, "c": 194, "d": 23}
+    whole = sum(weights.values())
+    sizes = spark.createDataFrame([(f"={s}", 10**6) for s in weights], "src string, n long")
+    rows = schedule(shares_of(sizes, weights)).collect()
+    assert sorted(r["pos"] for r in rows) == list(range(whole))
+    order = [r["src"][1:] for r in sorted(rows, key=lambda r: r["pos"])] * 10
+    had = dict.fromkeys(weights, 0)
+    for t, s in enumerate(order, 1):
+        had[s] += 1
+        assert all(abs(had[k] * whole - t * w) < whole for k, w in weights.items())
+    with pytest.raises(ValueError):
+        shares_of(sizes, {"a": 10**7})
+
+
+def test_mix_in_order_of_slots(spark):
+    """The rows of the mix, taken in order, keep to the weights as long as they are balanced."""
+    docs = spark.createDataFrame([(k, f"t{k}", "ab"[k % 3 == 0]) for k in range(600)], "doc_id long, text string, source string")
+    rows = pfair_mix(docs, {"a": 5, "b": 3}, block=4).where("mix_balanced").orderBy("mix_slot", "mix_place").collect()
+    assert len(rows) > 400
+    for t in range(4, len(rows) + 1, 4):
+        assert abs(sum(r["source"] == "a" for r in rows[:t]) - t * 5 / 8) < 4
+
+
+def test_mix_keeps_clashing_columns(spark):
+    names = ["rank", "Pos", "end", "period", "before", "rn", "row", "src", "cell", "cells", "hash", "own_q", "a.b"]
+    rows = [(k, None if k % 7 == 0 else f"t{k}", "x", *(f"{n}{k}" for n in names)) for k in range(40)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    got = pfair_mix(docs)
+    assert got.columns[:-4] == docs.columns
+    assert sorted(tuple(r)[:-4] for r in got.collect()) == sorted(rows)
+
+
 # --- pieces ---------------------------------------------------------------------------------------
 
 
