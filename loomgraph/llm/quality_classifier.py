@@ -1,82 +1,69 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, and quantiles of its perplexity.
 
-The model is counted on labelled rows of good quality. Spark adds up its n-grams in shards by their
-oldest symbol, and every document is scored against its language's model, which is broadcast. A document
-is rejected when its perplexity lies outside its language's band, which is made of the ten-percent, median
-and ninety-percent quantiles of trusted text (see ``bands``).
+The model is counted on labelled rows of good quality and kept in shards; every document's perplexity
+comes from a join of its n-grams with the shards' counts. A document is rejected when its perplexity
+lies outside limits that quantiles of its language's trusted text set.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kneser_ney import Scorer, bands, counted, models, score_of
+from .kneser_ney import language, means, modelled, quantiles, scored, smoothed
 from .shared import Tables, documents
 
-#: The most trusted rows of a language that its model is fitted on; all others give the quantiles.
-TRUSTED = 20_000
+#: The share of trusted text beyond the quantiles on either side, and how much farther from the median
+#: than they the limits lie: quantiles of a sample lie inside those of what it is drawn from.
+OUTSIDE, FARTHER = 0.01, 0.5
 
 
-def scored(docs: DataFrame, scorers, columns: list[str]) -> DataFrame:
-    """docs with ``score``: bits a letter under the model of the language, null for no model or no text."""
-    schema = docs.select(*columns).schema.add("score", "double")
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                model = scorers.value.get(lang)
-                out.append(score_of(*model.bits(text)) if model and text else None)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(out, pa.float64())], [*columns, "score"])
-
-    return docs.mapInArrow(run, schema)
-
-
-def classified(docs: DataFrame, labels: DataFrame, columns: list[str], trusted: int = TRUSTED) -> DataFrame:
+def classified(docs: DataFrame, labels: DataFrame, columns: list[str], outside: float = OUTSIDE) -> DataFrame:
     """``columns`` of docs with perplexity, threshold and kept; see ``quality_classifier``."""
-    spark = docs.sparkSession
-    tables = Tables(spark)
+    tables = Tables(docs.sparkSession)
+    columns = [c for c in columns if c not in ("perplexity", "threshold", "kept")]
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL")
-    known = docs.select("doc_id", "lang").distinct().join(good.select("doc_id"), "doc_id")
-    known = tables.keep(known.select(F.col("doc_id").alias("trusted_id"), F.col("lang").alias("of"), F.xxhash64("doc_id").alias("h")), "trusted")
-    # the smaller half of a language's hashes, or as many as are expected to be ``trusted``
-    sizes = known.groupBy("of").agg(F.count("*").alias("n"), F.percentile_approx("h", 0.5, 100_000).alias("middle"))
-    sizes = tables.keep(sizes.select(F.col("of").alias("size_of"), "n", "middle"), "sizes")
-    few = F.when(F.col("n") <= 2 * trusted, F.col("h") <= F.col("middle")).otherwise(F.col("h") / 2.0**64 + 0.5 < trusted / F.col("n"))
-    split = known.join(F.broadcast(sizes), F.col("of").eqNullSafe(F.col("size_of"))).select("trusted_id", "of", few.alias("fit"))
-    ours = (F.col("doc_id") == F.col("trusted_id")) & F.col("lang").eqNullSafe(F.col("of"))
-    # joined by broadcast, as the sample of each language is bounded
-    chosen = docs.select("doc_id", "lang", "text").join(F.broadcast(tables.keep(split.where("fit"), "fit")), ours)
-    fitted = models(tables.keep(counted(chosen), "counts"))
-    scorers = spark.sparkContext.broadcast({lang: Scorer(m) for lang, m in fitted.items()})
-    scores = tables.keep(scored(docs.select("doc_id", "lang", "text"), scorers, ["doc_id", "lang"]), "scores")
-    seen = tables.keep(scores.join(split, ours).select("lang", "score", "fit"), "seen")
+    ids = docs.select("doc_id", language().alias("lang_of")).distinct()
+    known = tables.keep(ids.join(good.select("doc_id"), "doc_id").select(F.col("doc_id").alias("trusted_id"), "lang_of", F.shiftright(F.xxhash64("doc_id"), 11).alias("h")), "trusted")
+    # the smaller half of a language's hashes is fitted
+    halves = known.groupBy("lang_of").agg(F.percentile_approx("h", 0.5, 100_000).alias("middle"))
+    split = tables.keep(known.join(halves, "lang_of").select("trusted_id", "lang_of", (F.col("h") <= F.col("middle")).alias("fit")), "split")
+    ours = (F.col("doc_id") == F.col("trusted_id")) & (language() == F.col("lang_of"))
+    texts = docs.select("doc_id", "lang", "text")
+    models = modelled(tables, texts.join(split.where("fit"), ours).select("lang", "text"))
+    scores = tables.keep(scored(docs, models, list(dict.fromkeys(["doc_id", *columns]))), "scores")
+    mine = (F.col("id") == F.col("trusted_id")) & (F.col("key") == F.col("lang_of"))
+    brief = scores.select(F.col("own.doc_id").alias("id"), "key", "bits", "symbols")
+    seen = tables.keep(brief.join(split, mine).select("key", "bits", "symbols", "fit"), "seen")
+    unseen = seen.where("NOT fit")
+    mean = tables.keep(means(unseen), "means")
     # fitted rows score lower than others, so that the lower limit is taken from all trusted rows
-    low = bands(seen).select(F.col("lang").alias("low_of"), "low")
-    limits = bands(seen.where("NOT fit")).select(F.col("lang").alias("of"), "high")
-    limits = tables.keep(limits.join(low, F.col("of").eqNullSafe(F.col("low_of"))).select("of", "low", "high"), "limits")
-    out = scores if set(columns) <= {"doc_id", "lang"} else scored(docs, scorers, list(dict.fromkeys([*columns, "lang", "text"])))
-    out = out.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("of")), "left")
-    perplexity, threshold = F.pow(F.lit(2.0), F.col("score")), F.pow(F.lit(2.0), F.col("high"))
-    return out.select(*columns, perplexity.alias("perplexity"), threshold.alias("threshold"), F.coalesce(F.col("score").between(F.col("low"), F.col("high")), F.lit(True)).alias("kept"))
+    limit = lambda q: (F.col(q) + FARTHER * (F.col(q) - F.col("middle"))).alias(q)
+    low = quantiles(smoothed(seen, mean), low=outside, middle=0.5).select(F.col("of").alias("low_of"), limit("low"))
+    high = quantiles(smoothed(unseen, mean), high=1 - outside, middle=0.5).select("of", limit("high"))
+    limits = tables.keep(high.join(low, F.col("of") == F.col("low_of")).select("of", "low", "high"), "limits")
+    out = smoothed(scores, mean).join(F.broadcast(limits), F.col("key") == F.col("of"), "left")
+    inside = F.coalesce(F.col("score").between(F.col("low"), F.col("high")), F.lit(True))
+    two = F.lit(2.0)
+    return out.select(*(F.col(f"own.`{c}`") for c in columns), F.pow(two, "score").alias("perplexity"), F.pow(two, "high").alias("threshold"), inside.alias("kept"))
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
-    """doc_id, lang, perplexity (a letter), threshold, kept.
+def quality_classifier(docs: DataFrame, labels: DataFrame, outside: float = OUTSIDE) -> DataFrame:
+    """doc_id, lang, perplexity (a symbol, of the text with as much average text as PRIOR), threshold, kept.
 
-    The threshold is the upper limit of the band; a document below the lower one is not kept either.
+    The threshold is the upper limit; a document below the lower one is not kept either. They lie as
+    far from the median as the quantiles ``outside`` and 1 - ``outside`` of the language's trusted
+    rows, and FARTHER times that farther.
 
     Trusted rows are those labelled quality 1 and toxic 0 (of repeated labels the worst counts). By a
-    hash of the id, half of each language's, or about ``trusted`` where half are more, fit its model,
-    and all others give its quantiles; documents, scores and thresholds cover all rows.
+    hash of the id, half of each language's fit its model, and all others give its mean and upper
+    limit; so both grow with the labels. Scores and limits cover all rows.
 
     A null or empty text has null perplexity and is kept. Documents whose language (null is
     one) has no trusted rows have null perplexity or threshold and are kept. Repeated rows are scored
     alike. Empty tables give empty results. Other columns are ignored.
     """
-    return classified(docs, labels, ["doc_id", "lang"], trusted)
+    return classified(docs, labels, ["doc_id", "lang"], outside)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

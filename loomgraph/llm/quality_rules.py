@@ -1,8 +1,7 @@
 """Quality rules: counts of a text, and perplexity bands of a modified Kneser-Ney model of the corpus.
 
-Spark counts the n-grams of all documents that pass the plain rules; the model is kept as sorted
-arrays of n-gram numbers. Each language has an upper and a lower band, from quantiles over all
-those documents.
+Spark counts the n-grams of all documents that pass the plain rules; the model is kept in shards of
+sorted arrays. Each language has an upper and a lower band, from quantiles over all those documents.
 """
 
 from __future__ import annotations
@@ -12,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kneser_ney import Scorer, bands, counted, models, score_of
+from ..shipping import ship
+from .kneser_ney import means, modelled, quantiles, scored, smoothed
 from .shared import Tables, documents
 from .suffix_dedup import covered
 from .words import SEPARATOR, word_values
@@ -59,47 +59,53 @@ def base_failed(c: list[int]) -> bool:
     return c[0] < 10 or 100 * c[4] > 20 * c[0]
 
 
+def plain(c: list[int]) -> bool:
+    """Whether a text passes the base rules and has few symbols: such texts make the model and the bands."""
+    return not base_failed(c) and 100 * c[2] <= 2 * c[1]
+
+
+#: How far the bands reach, in half-widths of the middle 80 %.
+WIDTH = 4
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity.
 
     Counts are of whole texts, as the contract of the query has them. The model is counted on the
     documents that do not fail the base rules and whose counted symbols are at most 2 % of their
-    word characters; its bands come from the same documents. A document is kept when it passes the
-    base rules and its perplexity lies in its language's band.
+    word characters; its bands come from the same documents: from a language's median they reach
+    WIDTH times as far as its ten-percent and its ninety-percent quantile lie. A document is kept when
+    it passes the base rules and its perplexity lies in its language's band.
 
     A null or empty text has no words and fails. A null lang is a language of its own; a language of
     which no document is counted has no band, and its documents pass. Repeated rows are judged
     alike. Empty tables give empty results. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    tables = Tables(spark)
+    tables = Tables(docs.sparkSession)
     docs = docs.select("doc_id", "lang", "text")
 
-    def plain(batches):
+    def only_plain(batches):
         for batch in batches:
-            counts = text_counts(batch.column("text").to_pylist())
-            good = [not base_failed(c) and 100 * c[2] <= 2 * c[1] for c in counts]
+            good = [plain(c) for c in text_counts(batch.column("text").to_pylist())]
             yield batch.filter(pa.array(good, pa.bool_())).select(["lang", "text"])
 
-    fitted = models(tables.keep(counted(docs.mapInArrow(plain, "lang string, text string")), "counts"))
-    scorers = spark.sparkContext.broadcast({lang: Scorer(m) for lang, m in fitted.items()})
-
-    def judge(batches):
-        for batch in batches:
-            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-            counts = text_counts(texts)
-            scores = [score_of(*scorers.value[lang].bits(t or "")) if lang in scorers.value else None for lang, t in zip(langs, texts)]
-            failed = [base_failed(c) for c in counts]
-            plain = [not f and 100 * c[2] <= 2 * c[1] for f, c in zip(failed, counts)]
-            cols = [batch.column("doc_id"), batch.column("lang"), *(pa.array(x, pa.int64()) for x in (zip(*counts) if counts else [[]] * 5))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(failed, pa.bool_()), pa.array(plain, pa.bool_()), pa.array(scores, pa.float64())], ["doc_id", "lang", *COUNTS, "base_failed", "plain", "score"])
-
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, plain boolean, score double"
-    judged = tables.keep(docs.mapInArrow(judge, schema), "judged")
-    limits = bands(judged.where("plain")).select(F.col("lang").alias("of"), "low", "high")
-    out = judged.join(F.broadcast(tables.keep(limits, "limits")), F.col("lang").eqNullSafe(F.col("of")), "left")
+    def counts_of(texts: list) -> dict[str, pa.Array]:
+        counts = text_counts(texts)
+        cols = {name: pa.array([c[k] for c in counts], pa.int64()) for k, name in enumerate(COUNTS)}
+        return cols | {"base_failed": pa.array([base_failed(c) for c in counts], pa.bool_()), "plain": pa.array([plain(c) for c in counts], pa.bool_())}
+
+    ship(docs.sparkSession)
+    models = modelled(tables, docs.mapInArrow(only_plain, "lang string, text string"))
+    schema = f"{', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, plain boolean"
+    judged = tables.keep(scored(docs, models, ["doc_id"], counts_of, schema), "judged")
+    mean = tables.keep(means(judged.where("plain")), "means")
+    scores = smoothed(judged, mean)
+    cut = quantiles(scores.where("plain"), q10=0.1, q50=0.5, q90=0.9)
+    band = [(F.col("q50") + WIDTH * (F.col(q) - F.col("q50"))).alias(name) for q, name in (("q10", "low"), ("q90", "high"))]
+    limits = tables.keep(cut.select("of", *band), "limits")
+    out = scores.join(F.broadcast(limits), F.col("key") == F.col("of"), "left")
     inside = F.coalesce(F.col("score").between(F.col("low"), F.col("high")), F.lit(True))
-    return out.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.pow(F.lit(2.0), F.col("score")).alias("perplexity"))
+    return out.select("own.doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.pow(F.lit(2.0), "score").alias("perplexity"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

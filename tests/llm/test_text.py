@@ -16,6 +16,7 @@ from loomgraph.llm import kneser_ney as kn
 from loomgraph.llm import merkle, page_text, quality_rules, sentencepieces, warc
 from loomgraph.llm.mixing import pfair_mix, schedule, shares_of
 from loomgraph.llm.quality_classifier import quality_classifier
+from loomgraph.llm.shared import Tables
 
 ODD = ["", "  lead", "a  b\n\tc ", "x y   z", "é ﬁ ½ 　z", "日本語 テスト", "😀 ok", "\n\n  \n x", " ", "x▁y", "▁", "ab▁ c", "\0 \0x", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
 
@@ -204,50 +205,124 @@ def test_pieces_frame(spark):
 # --- language models ---------------------------------------------------------------------------------
 
 
-def plain_model(texts, order=kn.ORDER):
-    """Interpolated modified Kneser-Ney over dictionaries: a function of (context, symbol)."""
-    counts = [None] * (order + 1)
-    counts[order] = Counter()
+def plain_model(texts):
+    """Interpolated modified Kneser-Ney over dictionaries: the bits of a text."""
+    fold = lambda t: [kn.START] * 3 + ["0" if c in "0123456789" else c if c < "\U00010000" else ord(c) >> 10 for c in t]
+    counts = [None, None, None, None, Counter()]
     for t in texts:
-        s = [0] * (order - 1) + list(map(int, kn.symbols(t)))
-        for k in range(order - 1, len(s)):
-            counts[order][tuple(s[k - order + 1 : k + 1])] += 1
-    for n in range(order - 1, 0, -1):
+        s = fold(t)
+        counts[4].update(tuple(s[k - 3 : k + 1]) for k in range(3, len(s)))
+    for n in (3, 2, 1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
-    tables = []
-    for n in range(1, order + 1):
-        d = kn.Model.discounts(np.array(list(counts[n].values())))
+    tables = [None]
+    for n in range(1, 5):
+        r = [0] + [sum(c == k for c in counts[n].values()) for k in range(1, 5)]
+        d = [0, 0.5, 0.5, 0.5]
+        if r[1] and r[2]:
+            y = r[1] / (r[1] + 2 * r[2])
+            d = [0] + [min(k, max(0.1, k - (k + 1) * y * r[k + 1] / r[k])) if r[k] else 0.5 for k in (1, 2, 3)]
         total, freed = defaultdict(int), defaultdict(float)
         for g, c in counts[n].items():
             total[g[:-1]] += c
             freed[g[:-1]] += d[min(c, 3)]
-        tables.append((counts[n], d, total, freed))
-
-    def p(gram, n):
-        if n == 0:
-            return 1 / 32
-        c, d, total, freed = tables[n - 1]
-        ctx, k = gram[:-1], c.get(gram, 0)
+        tables.append((d, total, freed))
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / (len(counts[1]) + 1)
+        d, total, freed = tables[n]
+        ctx, k = gram[:-1], counts[n][gram]
         if not total[ctx]:
-            return p(gram[1:], n - 1)
-        return (k - d[min(k, 3)]) / total[ctx] + freed[ctx] / total[ctx] * p(gram[1:], n - 1)
+            return p(gram[1:])
+        return (k - d[min(k, 3)]) / total[ctx] + freed[ctx] / total[ctx] * p(gram[1:])
+
+    def bits(t):
+        s = fold(t)
+        return -sum(math.log2(p(tuple(s[k - 3 : k + 1]))) for k in range(3, len(s)))
+
+    return bits
+
+
+def plain_quantile(scores, q):
+    """In thousandths, as the cells have it."""
+    cells = sorted(math.floor(x * 1000 + 0.5) for x in scores)
+    return next(c for k, c in enumerate(cells, 1) if k >= len(cells) * q) / 1000
 
-    return p
 
+def prose(rng, n):
+    return [" ".join("".join(rng.choice(["th", "e", "an", "d ", "ou", "r", "é", "1"]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(3, 60))) for _ in range(n)]
 
-def test_kneser_ney(spark):
+
+@pytest.mark.parametrize(("table", "spread", "held"), [(1 << 26, 512, 2_000_000), (4, 1, 300)])
+def test_kneser_ney(spark, monkeypatch, table, spread, held):
+    """Bits of texts come out as from dictionaries, whatever the sizes of tables, blocks and lots."""
+    for name, value in (("TABLE", table), ("SPREAD", spread), ("HELD", held), ("BLOCK", 4_000_000 if table > 4 else 900)):
+        monkeypatch.setattr(kn, name, value)
     rng = random.Random(4)
-    texts = ["".join(rng.choice("abcd .") for _ in range(rng.randint(0, 200))) for _ in range(30)]
+    texts = prose(rng, 40) + ["日本語 テスト 😀😁", "привет мир"]
+    probes = [texts[0], "abzz!q", "A á #9", "слово", "😀😂日", "x", *prose(rng, 30)]
     docs = spark.createDataFrame([("x", t) for t in texts] + [("y", None), (None, "zz")], "lang string, text string")
-    got = kn.models(kn.counted(docs))
-    p = plain_model(texts)
-    scorer = kn.Scorer(got["x"])
-    for probe in ["abcd", "abzz!q", texts[0], "A á #9", ""]:
-        s = [0] * 4 + list(map(int, kn.symbols(probe)))
-        want = -sum(math.log2(p(tuple(s[k - 4 : k + 1]), 5)) for k in range(4, len(s)))
-        assert got["x"].bits(probe)[0] == pytest.approx(want, rel=1e-4, abs=1e-6)
-        assert scorer.bits(probe)[0] == pytest.approx(want, rel=1e-4, abs=1e-6)
-    assert None in got
+    asked = spark.createDataFrame([(k, "x", t, k) for k, t in enumerate(probes)] + [(900, None, "zz", 1), (901, "x", None, 1), (902, "y", "zz", 1)], "doc_id long, lang string, text string, bits int")
+    models = kn.modelled(Tables(spark), docs)
+    got = {r["own"]["doc_id"]: r for r in kn.scored(asked, models, ["doc_id", "bits", "text"]).collect()}
+    bits = plain_model(texts)
+    for k, t in enumerate(probes):
+        assert got[k]["bits"] == pytest.approx(bits(t), rel=1e-5) and got[k]["symbols"] == len(t) and got[k]["own"]["text"] == t and got[k]["own"]["bits"] == k
+    assert got[900]["bits"] == pytest.approx(plain_model(["zz"])("zz"), rel=1e-5) and got[901]["bits"] is None and got[902]["bits"] is None
+
+
+def test_classifier_against_dictionaries(spark):
+    """kept and threshold as from a plain model and sorted scores."""
+    rng = random.Random(9)
+    texts = prose(rng, 120) + ["#x** " * 30, "thethethe " * 40, "QQ", "x"]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(100)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_classifier(docs, labels, outside=0.05).collect()}
+    h = {r["doc_id"]: r["h"] for r in docs.selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    fit = sorted(range(100), key=h.get)[:50]
+    bits = plain_model([texts[k] for k in fit])
+    rest = [k for k in range(100) if k not in fit]
+    mean = sum(bits(texts[k]) for k in rest) / sum(len(texts[k]) for k in rest)
+    score = [(bits(t) + mean * kn.PRIOR) / (len(t) + kn.PRIOR) for t in texts]
+    limit = lambda of, q: 1.5 * plain_quantile([score[k] for k in of], q) - 0.5 * plain_quantile([score[k] for k in of], 0.5)
+    low, high = limit(range(100), 0.05), limit(rest, 0.95)
+    assert {k: r["kept"] for k, r in got.items()} == {k: low <= x <= high for k, x in enumerate(score)}
+    assert all(r["threshold"] == pytest.approx(2**high) and r["perplexity"] == pytest.approx(2 ** score[k], rel=1e-5) for k, r in got.items())
+    assert not got[120]["kept"]
+
+
+def test_rules_against_dictionaries(spark):
+    rng = random.Random(10)
+    texts = [t for t in prose(rng, 90) if len(t.split()) > 3] + ["Q#* " * 3 + "xz kq jv " * 4, "кириллица " * 2 + "и ещё слова того же языка вот так", "a b", "w " * 30]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    counts = quality_rules.text_counts(texts)
+    failed = [c[0] < 10 or 100 * c[4] > 20 * c[0] for c in counts]
+    plain = [k for k, c in enumerate(counts) if not failed[k] and 100 * c[2] <= 2 * c[1]]
+    bits = plain_model([texts[k] for k in plain])
+    mean = sum(bits(texts[k]) for k in plain) / sum(len(texts[k]) for k in plain)
+    score = [(bits(t) + mean * kn.PRIOR) / (len(t) + kn.PRIOR) for t in texts]
+    q10, q50, q90 = (plain_quantile([score[k] for k in plain], q) for q in (0.1, 0.5, 0.9))
+    low, high = q50 + quality_rules.WIDTH * (q10 - q50), q50 + quality_rules.WIDTH * (q90 - q50)
+    assert {k: r["kept"] for k, r in got.items()} == {k: not failed[k] and low <= x <= high for k, x in enumerate(score)}
+    assert len(plain) > 20 and any(not r["kept"] and not r["base_failed"] for r in got.values())
+
+
+def test_scripts_stay_apart(spark):
+    """Letters in another order are junk in every script."""
+    rng = random.Random(11)
+    rows = []
+    for lang, word in (("ru", ["слово", "дело", "человек", "время"]), ("el", ["λόγος", "άνθρωπος", "ώρα"]), ("zh", ["你好", "世界", "中文", "文字"])):
+        rows += [(len(rows) + k, " ".join(rng.choice(word) for _ in range(40)), lang, 1) for k in range(60)]
+        for k in range(5):
+            letters = list("".join(rng.choice(word) for _ in range(60)))
+            rng.shuffle(letters)
+            rows.append((len(rows), " ".join("".join(letters[j : j + 4]) for j in range(0, len(letters), 4)), lang, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, good int")
+    labels = docs.where("good = 1").selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    got = {r["doc_id"]: r["kept"] for r in quality_classifier(docs, labels, outside=0.0).collect()}
+    assert not any(got[k] for k, *_, good in rows if not good) and sum(got[k] for k, *_, good in rows if good) >= 170
 
 
 def test_classifier(spark):
@@ -270,7 +345,7 @@ def test_classifier_languages(spark):
     rows = [(i, good(), "xx" if i % 100 == 7 else "en") for i in range(1000)] + [(k, "#xq** zzk qqv " * 20, "xx" if k % 2 else "en") for k in (2000, 2001)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(1000)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r for r in quality_classifier(docs, labels, trusted=8).collect()}
+    got = {r["doc_id"]: r for r in quality_classifier(docs, labels).collect()}
     assert all(r["perplexity"] and r["threshold"] for r in got.values()) and not got[2000]["kept"] and not got[2001]["kept"]
 
 
