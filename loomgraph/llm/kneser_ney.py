@@ -30,9 +30,9 @@ BITS, ORDER = np.uint64(16), 4
 START = 0xDFFF
 LEAD = chr(START) * (ORDER - 1)
 #: Shards of a language; blocks that ask one copy of a shard; n-grams that a map task holds; bytes of text in a block.
-SHARDS, SPREAD, HELD, BLOCK = 64, 512, 2_000_000, 4 << 20
+SHARDS, SPREAD, HELD, BLOCK = 64, 512, 1_000_000, 2 << 20
 #: Cells of the largest table over pairs of pairs of symbols.
-TABLE = 1 << 26
+TABLE = 1 << 24
 
 
 def language(name: str = "lang") -> Column:
@@ -58,14 +58,16 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     s = symbols("".join(LEAD + t for t in texts))
     sizes = np.array([len(t) for t in texts], np.int64)
     names = np.unique(s)
-    own = np.zeros(1 << 16, np.int64)
+    small = np.int32 if len(names) < 1 << 15 else np.int64
+    own = np.zeros(1 << 16, small)
     own[names] = np.arange(len(names))
     # pairs of symbols, then pairs of pairs, as numbers without gaps and in order
     pair = own[s[:-1]] * len(names) + own[s[1:]]
     seen = np.zeros(len(names) ** 2, bool)
     seen[pair] = True
     pairs = np.flatnonzero(seen)
-    at = np.zeros(len(seen), np.int64)
+    small = np.int32 if len(pairs) < 1 << 15 else np.int64
+    at = np.zeros(len(seen), small)
     at[pairs] = np.arange(len(pairs))
     pair = at[pair]
     four = pair[:-2] * len(pairs) + pair[2:]
@@ -93,7 +95,7 @@ def shard_of(codes: np.ndarray) -> np.ndarray:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, code, n): how often each n-gram occurs in texts of a language. docs: lang, text.
+    """(lang, code, n): how often each n-gram occurs in texts of a language. docs: lang (see ``language``), pack (a compressed text).
 
     Counts are added up in each map task before they are sent.
     """
@@ -106,8 +108,8 @@ def counted(docs: DataFrame) -> DataFrame:
     def count(batches):
         held: dict = {}
         size = 0
-        for batch in batches:
-            for lang, texts in by_language(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
+            for lang, texts in by_language(batch.column("lang").to_pylist(), texts_in(batch)):
                 codes, which, _ = grams(texts)
                 held.setdefault(lang, []).append((codes, np.bincount(which, minlength=len(codes))))
                 size += len(codes)
@@ -120,10 +122,16 @@ def counted(docs: DataFrame) -> DataFrame:
         yield from flush(held)
 
     ship(docs.sparkSession)
-    rows = docs.select(language().alias("lang"), "text").mapInArrow(count, "lang string, code long, n long")
+    rows = docs.select("lang", "pack").mapInArrow(count, "lang string, code long, n long")
     return rows.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
+def texts_in(rows: pa.RecordBatch | pa.Table) -> list:
+    """The texts of a column ``pack``."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [None if p is None else unpack(p).decode("utf-8", "surrogatepass") for p in rows.column("pack").to_pylist()]
+
+
 def by_language(langs: list, texts: list) -> Iterator[tuple[str, list[str]]]:
     """Texts that are not empty, in lots of one language and of bounded size."""
     lots: dict = {}
@@ -271,7 +279,7 @@ def scored(docs: DataFrame, models: DataFrame, columns: list[str], more: Callabl
     laid = docs.select(block.alias("block"), language().alias("key"), "text", F.struct(*(F.col(f"`{c}`") for c in carried)).alias("own"))
 
     def squeeze(batches):
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             pack = zstandard.ZstdCompressor(level=1).compress
             packs = pa.array([None if t is None else pack(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("key"), packs, batch.column("own")], ["block", "key", "pack", "own"])
@@ -279,10 +287,6 @@ def scored(docs: DataFrame, models: DataFrame, columns: list[str], more: Callabl
     squeezed = T.StructType().add("block", "integer").add("key", "string").add("pack", "binary").add("own", laid.schema["own"].dataType)
     by_block = laid.mapInArrow(squeeze, squeezed).groupBy("block")
 
-    def texts_of(table: pa.Table) -> list:
-        unpack = zstandard.ZstdDecompressor().decompress
-        return [None if p is None else unpack(p).decode("utf-8", "surrogatepass") for p in table.column("pack").to_pylist()]
-
     def lots(keys: list, texts: list) -> Iterator[tuple[str, list[int]]]:
         """Rows with text of each language, sorted by language, as asked() and answered() both go."""
         found: dict = {}
@@ -292,7 +296,7 @@ def scored(docs: DataFrame, models: DataFrame, columns: list[str], more: Callabl
         yield from sorted(found.items())
 
     def asked(table: pa.Table) -> pa.Table:
-        block, texts = table.column("block")[0].as_py(), texts_of(table)
+        block, texts = table.column("block")[0].as_py(), texts_in(table)
         rows = []
         for key, which in lots(table.column("key").to_pylist(), texts):
             codes, _, _ = grams([texts[k] for k in which])
@@ -321,7 +325,7 @@ def scored(docs: DataFrame, models: DataFrame, columns: list[str], more: Callabl
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["block", "lang", "shard", "bits"])
 
     def added(table: pa.Table, answers: pa.Table) -> pa.Table:
-        texts, told = texts_of(table), {}
+        texts, told = texts_in(table), {}
         for r in answers.select(["lang", "shard", "bits"]).to_pylist():
             told[r["lang"], r["shard"]] = np.frombuffer(unzipped(r["bits"]), np.float32)
         bits: list = [None] * len(texts)
@@ -384,5 +388,5 @@ def quantiles(scores: DataFrame, **at: float) -> DataFrame:
 
 
 def modelled(tables: Tables, docs: DataFrame) -> DataFrame:
-    """A written table of the models of docs (lang, text)."""
+    """A written table of the models of docs (lang, pack); see ``counted``."""
     return tables.keep(shards(tables.keep(counted(docs), "counts")), "models")

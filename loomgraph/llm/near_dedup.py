@@ -25,13 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import GOLDEN, MIX_A, Tables, documents, mix64, unused
+from .shared import GOLDEN, MIX_A, Tables, documents, mix64, sieved, unused
 from .words import word_values
 
 #: Members of a list, and shingles of their sets, that make a block of it. A task holds two blocks.
 LIST, SETS = 2000, 2_000_000
-#: Bits of the sieve through which texts go before they are exchanged.
-SIEVE = 1 << 25
 
 
 def shingles(values: np.ndarray, size: int) -> np.ndarray:
@@ -204,31 +202,12 @@ def linked(table: pa.Table, size: int, percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def sieve(rows: DataFrame) -> np.ndarray:
-    """A bit for each hash, modulo SIEVE, that the rows ask for. Its size is the same for any number of rows."""
-    asked = rows.select((F.pmod(F.xxhash64("own_id", "own_hash"), F.lit(SIEVE)) + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("part"))
-    out = np.zeros((SIEVE >> 15, 4096), np.uint8)
-    for part, bits in asked.agg(F.bitmap_construct_agg(F.bitmap_bit_position("h"))).collect():
-        out[part - 1] = np.frombuffer(bytes(bits), np.uint8)
-    return out.ravel()
-
-
 def confirmed(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between labels, of the pairs that ``rows`` asks for, from full sets.
 
     rows: see ASKED. A key's members come together with their texts, which are sieved and
     compressed before they move.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(sieve(rows))
-
-    def pack(batches):
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            h = batch.column("h").to_numpy()
-            batch = batch.filter(pa.array((wanted.value[h >> 3] >> (h & 7) & 1).astype(bool)))
-            packs = [squeeze((t or "").encode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(packs, pa.binary())], ["text_id", "text_hash", "pack"])
-
     def hold(batches):
         for table in grouped(batches):
             keys = table.column("key").to_numpy()
@@ -236,8 +215,7 @@ def confirmed(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
             links = [x for i, j in zip(edges[:-1], edges[1:]) for x in linked(table.slice(i, j - i), size, percent)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    whole = keyed(docs).withColumn("h", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SIEVE)))
-    texts = whole.mapInArrow(pack, "text_id long, text_hash long, pack binary")
+    texts = sieved(keyed(docs), rows.select("own_id", "own_hash"), ["doc_id", "text_hash"], ["text_id", "text_hash", "pack"])
     met = rows.join(texts, F.col("own_id").eqNullSafe(F.col("text_id")) & (F.col("own_hash") == F.col("text_hash")))
     met = met.select("key", "cid", "label", "partners", "pack").repartition("key").sortWithinPartitions("key", "cid")
     return met.mapInArrow(hold, "a long, b long")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kneser_ney import language, means, modelled, quantiles, scored, smoothed
-from .shared import Tables, documents
+from .shared import Tables, documents, sieved
 
 #: The share of trusted text beyond the quantiles on either side, and how much farther from the median
 #: than they the limits lie: quantiles of a sample lie inside those of what it is drawn from.
@@ -28,9 +28,11 @@ def classified(docs: DataFrame, labels: DataFrame, columns: list[str], outside:
     # the smaller half of a language's hashes is fitted
     halves = known.groupBy("lang_of").agg(F.percentile_approx("h", 0.5, 100_000).alias("middle"))
     split = tables.keep(known.join(halves, "lang_of").select("trusted_id", "lang_of", (F.col("h") <= F.col("middle")).alias("fit")), "split")
-    ours = (F.col("doc_id") == F.col("trusted_id")) & (language() == F.col("lang_of"))
-    texts = docs.select("doc_id", "lang", "text")
-    models = modelled(tables, texts.join(split.where("fit"), ours).select("lang", "text"))
+    fit = split.where("fit").select("trusted_id", "lang_of")
+    keyed = docs.select("doc_id", language().alias("lang"), "text").where("text IS NOT NULL")
+    texts = sieved(keyed, fit, ["doc_id", "lang"], ["doc_id", "lang", "pack"])
+    texts = texts.join(fit, (F.col("doc_id") == F.col("trusted_id")) & (F.col("lang") == F.col("lang_of"))).select("lang", "pack")
+    models = modelled(tables, texts)
     scores = tables.keep(scored(docs, models, list(dict.fromkeys(["doc_id", *columns]))), "scores")
     mine = (F.col("id") == F.col("trusted_id")) & (F.col("key") == F.col("lang_of"))
     brief = scores.select(F.col("own.doc_id").alias("id"), "key", "bits", "symbols")

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .kneser_ney import means, modelled, quantiles, scored, smoothed
+from .kneser_ney import language, means, modelled, quantiles, scored, smoothed
 from .shared import Tables, documents
 from .suffix_dedup import covered
 from .words import SEPARATOR, word_values
@@ -85,9 +86,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "lang", "text")
 
     def only_plain(batches):
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             good = [plain(c) for c in text_counts(batch.column("text").to_pylist())]
-            yield batch.filter(pa.array(good, pa.bool_())).select(["lang", "text"])
+            batch = batch.filter(pa.array(good, pa.bool_()))
+            packs = [zstandard.ZstdCompressor(level=1).compress(t.encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(packs, pa.binary())], ["lang", "pack"])
 
     def counts_of(texts: list) -> dict[str, pa.Array]:
         counts = text_counts(texts)
@@ -95,7 +98,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         return cols | {"base_failed": pa.array([base_failed(c) for c in counts], pa.bool_()), "plain": pa.array([plain(c) for c in counts], pa.bool_())}
 
     ship(docs.sparkSession)
-    models = modelled(tables, docs.mapInArrow(only_plain, "lang string, text string"))
+    models = modelled(tables, docs.select(language().alias("lang"), "text").mapInArrow(only_plain, "lang string, pack binary"))
     schema = f"{', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, plain boolean"
     judged = tables.keep(scored(docs, models, ["doc_id"], counts_of, schema), "judged")
     mean = tables.keep(means(judged.where("plain")), "means")

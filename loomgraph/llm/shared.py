@@ -7,8 +7,11 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 
@@ -16,6 +19,8 @@ from ..shipping import ship
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the sieve through which texts go before they are exchanged.
+SIEVE = 1 << 25
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -73,6 +78,38 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0)
 
 
+def sieve(keys: DataFrame) -> np.ndarray:
+    """A bit for each hash, modulo SIEVE, of the rows of ``keys``. Its size is the same for any number of rows."""
+    asked = keys.select((F.pmod(F.xxhash64(*keys.columns), F.lit(SIEVE)) + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("part"))
+    out = np.zeros((SIEVE >> 15, 4096), np.uint8)
+    for part, bits in asked.agg(F.bitmap_construct_agg(F.bitmap_bit_position("h"))).collect():
+        out[part - 1] = np.frombuffer(bytes(bits), np.uint8)
+    return out.ravel()
+
+
+def sieved(docs: DataFrame, wanted: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """``keys`` and the compressed text of docs' rows whose keys may be in ``wanted``, as ``names``.
+
+    Before texts are exchanged for a join, a sieve of a fixed size takes out most rows that would
+    find no partner. The join decides; a full sieve only saves less.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(sieve(wanted))
+
+    def pack(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            batch = batch.filter(pa.array((bits.value[h >> 3] >> (h & 7) & 1).astype(bool)))
+            packs = [squeeze((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(packs, pa.binary())], names)
+
+    rows = docs.select(*keys, "text", F.pmod(F.xxhash64(*keys), F.lit(SIEVE)).alias("h"))
+    schema = T.StructType()
+    for name, key in zip(names, keys):
+        schema = schema.add(name, rows.schema[key].dataType)
+    return rows.mapInArrow(pack, schema.add(names[-1], "binary"))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that df does not have, whatever their case."""
     taken = {c.lower() for c in df.columns}

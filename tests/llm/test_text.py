@@ -264,7 +264,8 @@ def test_kneser_ney(spark, monkeypatch, table, spread, held):
     probes = [texts[0], "abzz!q", "A á #9", "слово", "😀😂日", "x", *prose(rng, 30)]
     docs = spark.createDataFrame([("x", t) for t in texts] + [("y", None), (None, "zz")], "lang string, text string")
     asked = spark.createDataFrame([(k, "x", t, k) for k, t in enumerate(probes)] + [(900, None, "zz", 1), (901, "x", None, 1), (902, "y", "zz", 1)], "doc_id long, lang string, text string, bits int")
-    models = kn.modelled(Tables(spark), docs)
+    packed = docs.rdd.map(lambda r: ("null" if r["lang"] is None else "=" + r["lang"], None if r["text"] is None else kn.zipped(np.frombuffer(r["text"].encode(), np.uint8)))).toDF("lang string, pack binary")
+    models = kn.modelled(Tables(spark), packed)
     got = {r["own"]["doc_id"]: r for r in kn.scored(asked, models, ["doc_id", "bits", "text"]).collect()}
     bits = plain_model(texts)
     for k, t in enumerate(probes):
