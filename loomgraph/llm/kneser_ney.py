@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .shared import Tables, parts_for, text_bytes
+from .shared import Tables, parts_for, text_bytes, tidy, tidy_group, tidy_pair
 
 BITS, ORDER = np.uint64(16), 4
 #: Stands before a text, where no character does (fixed value).
@@ -122,7 +122,7 @@ def counted(docs: DataFrame) -> DataFrame:
         yield from flush(held)
 
     ship(docs.sparkSession)
-    rows = docs.select("lang", "pack").mapInArrow(count, "lang string, code long, n long")
+    rows = docs.select("lang", "pack").mapInArrow(tidy(count), "lang string, code long, n long")
     return rows.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
@@ -285,7 +285,7 @@ def scored(docs: DataFrame, models: DataFrame, columns: list[str], more: Callabl
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("key"), packs, batch.column("own")], ["block", "key", "pack", "own"])
 
     squeezed = T.StructType().add("block", "integer").add("key", "string").add("pack", "binary").add("own", laid.schema["own"].dataType)
-    by_block = laid.mapInArrow(squeeze, squeezed).groupBy("block")
+    by_block = laid.mapInArrow(tidy(squeeze), squeezed).groupBy("block")
 
     def lots(keys: list, texts: list) -> Iterator[tuple[str, list[int]]]:
         """Rows with text of each language, sorted by language, as asked() and answered() both go."""
@@ -346,17 +346,17 @@ def scored(docs: DataFrame, models: DataFrame, columns: list[str], more: Callabl
         cols = {"own": pa.StructArray.from_arrays(fields, list(columns)), "key": table.column("key"), "bits": pa.array(bits, pa.float64())}
         return pa.table(cols | {"symbols": pa.array([len(t or "") for t in texts], pa.int64())} | (more(texts) if more else {}))
 
-    wanted = by_block.applyInArrow(asked, "lang string, shard int, salt int, block int, codes binary")
+    wanted = by_block.applyInArrow(tidy_group(asked), "lang string, shard int, salt int, block int, codes binary")
     none = F.lit(None).cast("binary")
     salts = F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // SPREAD)))
     models = models.select("lang", "shard", salts.alias("salt"), F.lit(-1).alias("block"), none.alias("codes"), "model", "tops", "ones")
     rows = wanted.select("lang", "shard", "salt", "block", "codes", none.alias("model"), none.alias("tops"), none.alias("ones")).unionByName(models)
     rows = rows.repartition("lang", "shard", "salt").sortWithinPartitions("lang", "shard", "salt", "block")
-    answers = rows.mapInArrow(answered, "block int, lang string, shard int, bits binary")
+    answers = rows.mapInArrow(tidy(answered), "block int, lang string, shard int, bits binary")
     out = T.StructType().add("own", docs.select(*(F.col(f"`{c}`") for c in columns)).schema).add("key", "string").add("bits", "double").add("symbols", "long")
     for name, kind in (x.split() for x in schema.split(", ") if x):
         out = out.add(name, kind)
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(added, out)
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(tidy_pair(added), out)
 
 
 #: Symbols of average text that every document is taken to have besides its own, so that short texts

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import GOLDEN, MIX_A, Tables, documents, mix64, sieved, unused
+from .shared import GOLDEN, MIX_A, Tables, documents, mix64, sieved, tidy, unused
 from .words import word_values
 
 #: Members of a list, and shingles of their sets, that make a block of it. A task holds two blocks.
@@ -68,7 +68,7 @@ def signed(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
                 ["doc_id", "text_hash", "n_shingles", "cid", "sig"],
             )
 
-    return keyed(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, cid long, sig array<int>")
+    return keyed(docs).mapInArrow(tidy(run), "doc_id long, text_hash long, n_shingles long, cid long, sig array<int>")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def confirmed(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     texts = sieved(keyed(docs), rows.select("own_id", "own_hash"), ["doc_id", "text_hash"], ["text_id", "text_hash", "pack"])
     met = rows.join(texts, F.col("own_id").eqNullSafe(F.col("text_id")) & (F.col("own_hash") == F.col("text_hash")))
     met = met.select("key", "cid", "label", "partners", "pack").repartition("key").sortWithinPartitions("key", "cid")
-    return met.mapInArrow(hold, "a long, b long")
+    return met.mapInArrow(tidy(hold), "a long, b long")
 
 
 def blocks_of(members: Column, shingles: Column) -> Column:
@@ -268,7 +268,7 @@ def crossed(lists: DataFrame, leads: DataFrame, state: DataFrame, percent: int,
             if table.num_rows:
                 yield asked_rows(table, *counted(table, percent, matches))
 
-    return rows.mapInArrow(run, ASKED)
+    return rows.mapInArrow(tidy(run), ASKED)
 
 
 def minhash_near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 24) -> DataFrame:

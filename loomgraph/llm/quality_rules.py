@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .kneser_ney import language, means, modelled, quantiles, scored, smoothed
-from .shared import Tables, documents
+from .shared import Tables, documents, tidy
 from .suffix_dedup import covered
 from .words import SEPARATOR, word_values
 from .spans import powers
@@ -98,7 +98,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         return cols | {"base_failed": pa.array([base_failed(c) for c in counts], pa.bool_()), "plain": pa.array([plain(c) for c in counts], pa.bool_())}
 
     ship(docs.sparkSession)
-    models = modelled(tables, docs.select(language().alias("lang"), "text").mapInArrow(only_plain, "lang string, pack binary"))
+    models = modelled(tables, docs.select(language().alias("lang"), "text").mapInArrow(tidy(only_plain), "lang string, pack binary"))
     schema = f"{', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, plain boolean"
     judged = tables.keep(scored(docs, models, ["doc_id"], counts_of, schema), "judged")
     mean = tables.keep(means(judged.where("plain")), "means")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .shared import GOLDEN, MIX_A, MIX_B, documents, mix64, unused
+from .shared import GOLDEN, MIX_A, MIX_B, documents, mix64, tidy, unused
 from .spans import powers
 
 #: The vocabulary that the query uses; a parameter of the operator.
@@ -34,7 +34,7 @@ MARK = 0x2581
 RATE, SEED = 0.1, 42
 NEVER = np.int32(2**31 - 1)
 #: Paths kept in a task's memory; symbols of the longest chunk that goes with others; characters of a lot.
-HELD, WIDE, LOT = 800_000, 48, 1 << 20
+HELD, WIDE, LOT = 400_000, 48, 1 << 19
 #: A rank of the agenda is a piece's rank times COLUMNS, more than WIDE, plus the column.
 COLUMNS = 64
 
@@ -405,7 +405,7 @@ def sentencepiece_encode(docs: DataFrame, columns: list[str], model: str = MODEL
                 extra = [n_chars, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(good, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *extra], [*columns, "n_chars", "ids", "decodes"])
 
-    return drawn.mapInArrow(run, schema)
+    return drawn.mapInArrow(tidy(run), schema)
 
 
 _encoders: dict = {}
@@ -430,7 +430,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
             made = [hashlib.sha256(values[i:j].tobytes()).hexdigest() for i, j in zip(edges[:-1], edges[1:])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_chars"), pa.array(np.diff(edges), pa.int64()), pa.array(made, pa.string()), b.column("decodes")], ["doc_id", "n_chars", "n_ids", "ids_sha256", "decodes"])
 
-    return out.mapInArrow(digest, f"doc_id {out.schema['doc_id'].dataType.simpleString()}, n_chars long, n_ids long, ids_sha256 string, decodes boolean")
+    return out.mapInArrow(tidy(digest), f"doc_id {out.schema['doc_id'].dataType.simpleString()}, n_chars long, n_ids long, ids_sha256 string, decodes boolean")
 
 
 QUERIES = {"op5_sentencepiece": op5_sentencepiece}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +80,50 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system, so that a worker that waits for its next task holds none of it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run``, a function for mapInArrow, with give_back() at the end of a task."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def tidy_group(run: Callable) -> Callable:
+    """``run``, a function of one group for applyInArrow, with give_back() after it."""
+
+    def tidied(table):
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def tidy_pair(run: Callable) -> Callable:
+    """``run``, a function of two groups for applyInArrow, with give_back() after it."""
+
+    def tidied(left, right):
+        try:
+            return run(left, right)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def sieve(keys: DataFrame) -> np.ndarray:
     """A bit for each hash, modulo SIEVE, of the rows of ``keys``. Its size is the same for any number of rows."""
     asked = keys.select((F.pmod(F.xxhash64(*keys.columns), F.lit(SIEVE)) + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("part"))
@@ -107,7 +153,7 @@ def sieved(docs: DataFrame, wanted: DataFrame, keys: list[str], names: list[str]
     schema = T.StructType()
     for name, key in zip(names, keys):
         schema = schema.add(name, rows.schema[key].dataType)
-    return rows.mapInArrow(pack, schema.add(names[-1], "binary"))
+    return rows.mapInArrow(tidy(pack), schema.add(names[-1], "binary"))
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .shared import GOLDEN, MIX_A, mix64, parts_for, text_bytes
+from .shared import GOLDEN, MIX_A, mix64, parts_for, text_bytes, tidy_group, tidy_pair
 
 #: Base of the rolling hash: odd, so that it has an inverse modulo 2**64 (fixed values).
 BASE = 0x5851F42D4C957F2D
@@ -351,11 +351,11 @@ def repeated_windows(
             first += [window[i:j] for i, j in zip(begins, ends)]
         return finish(table, ids, tokens, first)
 
-    ranked = by_block.groupBy("block").applyInArrow(first_round, RANKS)
-    told = ranked.groupBy("bucket").applyInArrow(lambda t: judged(t, False), RANKS)
-    more = by_block.groupBy("block").cogroup(told.where(F.col("kind") == SPLIT).groupBy("block")).applyInArrow(second_round, RANKS)
-    told_more = more.groupBy("bucket").applyInArrow(lambda t: judged(t, True), RANKS)
-    return by_block.groupBy("block").cogroup(told.unionByName(told_more).groupBy("block")).applyInArrow(last_round, schema)
+    ranked = by_block.groupBy("block").applyInArrow(tidy_group(first_round), RANKS)
+    told = ranked.groupBy("bucket").applyInArrow(tidy_group(lambda t: judged(t, False)), RANKS)
+    more = by_block.groupBy("block").cogroup(told.where(F.col("kind") == SPLIT).groupBy("block")).applyInArrow(tidy_pair(second_round), RANKS)
+    told_more = more.groupBy("bucket").applyInArrow(tidy_group(lambda t: judged(t, True)), RANKS)
+    return by_block.groupBy("block").cogroup(told.unionByName(told_more).groupBy("block")).applyInArrow(tidy_pair(last_round), schema)
 
 
 def least_by(a: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
