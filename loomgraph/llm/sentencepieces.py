@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .shared import GOLDEN, MIX_A, MIX_B, documents, mix64, tidy, unused
+from .shared import GOLDEN, KEPT, MIX_A, MIX_B, documents, mix64, tidy, unused
 from .spans import powers
 
 #: The vocabulary that the query uses; a parameter of the operator.
@@ -405,7 +405,7 @@ def sentencepiece_encode(docs: DataFrame, columns: list[str], model: str = MODEL
                 extra = [n_chars, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(good, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *extra], [*columns, "n_chars", "ids", "decodes"])
 
-    return drawn.mapInArrow(tidy(run), schema)
+    return drawn.mapInArrow(tidy(run, "pieces"), schema)
 
 
 _encoders: dict = {}
@@ -416,6 +416,7 @@ def encoder_of(key: tuple, vocab) -> Encoder:
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(*vocab.value, *key[1:])
+        KEPT["pieces"] = _encoders.clear
     return _encoders[key]
 
 

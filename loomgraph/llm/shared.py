@@ -80,22 +80,30 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0)
 
 
-def give_back() -> None:
-    """Hand freed memory back to the system, so that a worker that waits for its next task holds none of it."""
+#: What a worker keeps from task to task, by the name of the operator: how to forget it.
+KEPT: dict[str, Callable] = {}
+
+
+def give_back(keep: str = "") -> None:
+    """Forget what other operators than ``keep`` have kept in this worker, and hand freed memory back to the system."""
+    for name in list(KEPT):
+        if name != keep:
+            KEPT.pop(name)()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
-def tidy(run: Callable) -> Callable:
-    """``run``, a function for mapInArrow, with give_back() at the end of a task."""
+def tidy(run: Callable, keep: str = "") -> Callable:
+    """``run``, a function for mapInArrow, with give_back() before and after a task."""
 
     def tidied(batches):
+        give_back(keep)
         try:
             yield from run(batches)
         finally:
-            give_back()
+            give_back(keep)
 
     return tidied
 
