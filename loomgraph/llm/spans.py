@@ -32,7 +32,8 @@ from .shared import GOLDEN, MIX_A, mix64, parts_for, text_bytes, tidy_group, tid
 #: Base of the rolling hash: odd, so that it has an inverse modulo 2**64 (fixed values).
 BASE = 0x5851F42D4C957F2D
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK = 1 << 20
+#: Characters of text that are ranked at a time.
+CHUNK = 1 << 18
 LAST_ID = np.iinfo(np.int64).max
 RANKS = "bucket int, block int, kind int, a binary, c binary, d binary"
 _powers: dict[str, np.ndarray] = {}
@@ -118,16 +119,16 @@ class Runs:
         return mix64((self.sums[start + self.width] - self.sums[start]) * down[start])
 
 
-def chunks(ids: np.ndarray, tokens: list[np.ndarray]):
-    """Documents in lots of about CHUNK tokens: (first number, ids, tokens, ends)."""
+def chunks(ids: np.ndarray, texts: list, tokens_of: Callable[[list], list[np.ndarray]]):
+    """Documents in lots of about CHUNK characters: (ids, tokens, ends)."""
     begin = 0
     while begin < len(ids):
         size, stop = 0, begin
-        while stop < len(ids) and (stop == begin or size + len(tokens[stop]) <= CHUNK):
-            size += len(tokens[stop])
+        while stop < len(ids) and (stop == begin or size + len(texts[stop] or "") <= CHUNK):
+            size += len(texts[stop] or "")
             stop += 1
-        lot = tokens[begin:stop]
-        yield begin, ids[begin:stop], np.concatenate(lot), np.cumsum([len(x) for x in lot])
+        lot = tokens_of(texts[begin:stop])
+        yield ids[begin:stop], np.concatenate(lot), np.cumsum([len(x) for x in lot])
         begin = stop
 
 
@@ -250,8 +251,8 @@ def repeated_windows(
 ) -> DataFrame:
     """Run the rounds and call ``finish`` for each block.
 
-    tokens_of: texts -> arrays of 64-bit token values. finish(table, ids, tokens, first): gets a
-    block's rows, their ids and tokens and, for each document, for each window the smallest id of a
+    tokens_of: texts -> arrays of 64-bit token values. finish(table, ids, first): gets a
+    block's rows, their ids and, for each document, for each window the smallest id of a
     document in which the sequence starts (the largest number where none is known to be smaller);
     it returns the block's result rows in ``schema``.
     """
@@ -261,15 +262,13 @@ def repeated_windows(
     buckets = parts_for(total, 8 << 20)
     by_block = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
 
-    def prepared(table: pa.Table):
-        ids, texts = ids_of(table), table.column("text").to_pylist()
-        return ids, tokens_of(texts)
+    def lots_of(table: pa.Table):
+        return chunks(ids_of(table), table.column("text").to_pylist(), tokens_of)
 
     def first_round(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        ids, tokens = prepared(table)
         a, c, d, b = [], [], [], []
-        for _, own, values, ends in chunks(ids, tokens):
+        for own, values, ends in lots_of(table):
             runs = Runs(values, ends, width, gram)
             if len(runs.first):
                 rank = mix64(runs.gram)
@@ -290,9 +289,8 @@ def repeated_windows(
         split = Marks(told, SPLIT)
         if not len(split.c):
             return rows([], [], [], [], [], [])
-        ids, tokens = prepared(table)
         a, b, c, d = [], [], [], []
-        for _, own, values, ends in chunks(ids, tokens):
+        for own, values, ends in lots_of(table):
             runs = Runs(values, ends, width, gram)
             if not len(runs.first):
                 continue
@@ -312,20 +310,16 @@ def repeated_windows(
 
     def last_round(table: pa.Table, told: pa.Table) -> pa.Table:
         whole, split, single = (Marks(told, k) for k in (WHOLE, SPLIT, SINGLE))
-        ids, tokens = prepared(table)
-        lots = []
-        for begin, own, values, ends in chunks(ids, tokens):
-            runs = Runs(values, ends, width, gram)
-            lots.append((begin, own, ends, runs))
+        lots = [(own, ends, Runs(values, ends, width, gram)) for own, values, ends in lots_of(table)]
         # ranks that meet in the block itself
         a = np.concatenate([low(mix64(r.gram)) if len(r.first) else np.zeros(0, np.uint32) for *_, r in lots] or [np.zeros(0, np.uint32)])
         c = np.concatenate([r.context() if len(r.first) else np.zeros(0, np.uint64) for *_, r in lots] or [np.zeros(0, np.uint64)])
-        d = np.concatenate([own[r.doc()] if len(r.first) else np.zeros(0, np.int64) for _, own, _, r in lots] or [np.zeros(0, np.int64)])
+        d = np.concatenate([own[r.doc()] if len(r.first) else np.zeros(0, np.int64) for own, _, r in lots] or [np.zeros(0, np.int64)])
         best = np.minimum(least_by(a, c, d), whole.find(c))
         apart = split.find(c) != LAST_ID
         lone = []  # windows ranked one by one, met in the block itself
         at = 0
-        for _, own, _, runs in lots:
+        for own, _, runs in lots:
             which = np.flatnonzero(apart[at : at + len(runs.first)])
             if len(which):
                 start, run = runs.windows(which)
@@ -335,7 +329,7 @@ def repeated_windows(
         least = np.minimum(least_by(*alone), single.find(alone[1]))
         first: list[np.ndarray] = []
         at = spent = 0
-        for _, own, ends, runs in lots:
+        for own, ends, runs in lots:
             n = len(runs.first)
             window = np.full(runs.n + 1, LAST_ID)
             if n:
@@ -349,7 +343,7 @@ def repeated_windows(
                 at += n
             begins = np.concatenate(([0], ends[:-1]))
             first += [window[i:j] for i, j in zip(begins, ends)]
-        return finish(table, ids, tokens, first)
+        return finish(table, ids_of(table), first)
 
     ranked = by_block.groupBy("block").applyInArrow(tidy_group(first_round), RANKS)
     told = ranked.groupBy("bucket").applyInArrow(tidy_group(lambda t: judged(t, False)), RANKS)

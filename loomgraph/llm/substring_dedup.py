@@ -66,7 +66,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, keep_text: bool = False, b
     empty results. Other columns are ignored.
     """
 
-    def finish(table: pa.Table, ids: np.ndarray, tokens: list, first: list) -> pa.Table:
+    def finish(table: pa.Table, ids: np.ndarray, first: list) -> pa.Table:
         raw = encoded(table.column("text").to_pylist())
         spans = {i: s for i, (w, own) in enumerate(zip(first, ids.tolist())) if (s := passages(w, own, width))}
         automaton = shard([([w.decode() for w in raw[i].split()], s) for i, s in spans.items()])

@@ -53,7 +53,7 @@ def suffix_array_dedup(docs: DataFrame, length: int = 50, keep_text: bool = Fals
     bytes stay. Empty tables give empty results. Other columns are ignored.
     """
 
-    def finish(table: pa.Table, ids: np.ndarray, tokens: list, first: list) -> pa.Table:
+    def finish(table: pa.Table, ids: np.ndarray, first: list) -> pa.Table:
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
         for i, text in enumerate(table.column("text").to_pylist()):
             raw = (text or "").encode()
