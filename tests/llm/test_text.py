@@ -410,6 +410,28 @@ def test_common():
         assert all(a[k] in it for k in got)
 
 
+def test_common_of_many_equal_lines(monkeypatch):
+    """Pages of equal lines take no square of steps; split tables give rows of the same length."""
+    assert page_text.common_lines(["x", *["same"] * 30_000, "y"], ["z", *["same"] * 29_000, "w"]).issuperset(range(5000, 9000))
+    rng = random.Random(8)
+    for _ in range(30):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randint(1, 40))] for _ in range(2))
+        whole = page_text.common_lines(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(page_text, "ALIGNED", 9)
+            parts = page_text.common_lines(a, b)
+        it = iter(b)
+        assert len(parts) == len(whole) and all(a[k] in it for k in sorted(parts))
+
+
+def test_short_article_in_a_long_template(spark):
+    """A template of most of a page's characters is deleted all the same; a copy deletes nothing."""
+    page = lambda own: f"<div>{'menu ' * 80}</div><p>{own}</p><div>{'contact ' * 80}</div>"
+    rows = [(k, f"http://h.x/{k}", page(f"own {k}")) for k in range(5)] + [(9, "http://h.x/4", page("own 4")), (20, "http://i.x/a", page("twin")), (21, "http://i.x/b", page("twin"))]
+    got = {r["page_id"]: r["text"] for r in page_text.page_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"own {k}" for k in range(5)) and "twin" in got[20] and "menu" in got[20]
+
+
 @pytest.mark.parametrize("part_bytes", [1 << 20, 800])
 def test_pages(spark, part_bytes):
     page = lambda own: f"<div>menu item</div><p>{own}</p><div>contact us</div>"
