@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kneser_ney import language, means, modelled, quantiles, scored, smoothed
-from .shared import Tables, documents, sieved
+from .shared import Tables, documents, sieved, unused
 
 #: The share of trusted text beyond the quantiles on either side, and how much farther from the median
 #: than they the limits lie: quantiles of a sample lie inside those of what it is drawn from.
@@ -50,6 +50,18 @@ def classified(docs: DataFrame, labels: DataFrame, columns: list[str], outside:
     return out.select(*(F.col(f"own.`{c}`") for c in columns), F.pow(two, "score").alias("perplexity"), F.pow(two, "high").alias("threshold"), inside.alias("kept"))
 
 
+def kept_documents(docs: DataFrame, labels: DataFrame, outside: float = OUTSIDE) -> DataFrame:
+    """The rows of docs that ``quality_classifier`` keeps; all columns as they are.
+
+    Texts are not written a second time: the rejected rows' ids and hashes are taken out of docs.
+    """
+    text_hash, gone_id, gone_hash = unused(docs, "text_hash", "gone_id", "gone_hash")
+    judged = classified(docs.withColumn(text_hash, F.xxhash64("text")), labels, ["doc_id", text_hash], outside)
+    gone = judged.where("NOT kept").select(F.col("doc_id").alias(gone_id), F.col(text_hash).alias(gone_hash)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & F.xxhash64("text").eqNullSafe(F.col(gone_hash))
+    return docs.join(gone, same, "left_anti")
+
+
 def quality_classifier(docs: DataFrame, labels: DataFrame, outside: float = OUTSIDE) -> DataFrame:
     """doc_id, lang, perplexity (a symbol, of the text with as much average text as PRIOR), threshold, kept.
 

@@ -15,7 +15,7 @@ import sentencepiece
 from loomgraph.llm import kneser_ney as kn
 from loomgraph.llm import merkle, page_text, quality_rules, sentencepieces, warc
 from loomgraph.llm.mixing import pfair_mix, schedule, shares_of
-from loomgraph.llm.quality_classifier import quality_classifier
+from loomgraph.llm.quality_classifier import kept_documents, quality_classifier
 from loomgraph.llm.shared import Tables
 
 ODD = ["", "  lead", "a  b\n\tc ", "x y   z", "é ﬁ ½ 　z", "日本語 テスト", "😀 ok", "\n\n  \n x", " ", "x▁y", "▁", "ab▁ c", "\0 \0x", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
@@ -310,6 +310,17 @@ def test_rules_against_dictionaries(spark):
     assert len(plain) > 20 and any(not r["kept"] and not r["base_failed"] for r in got.values())
 
 
+def test_kept_documents(spark):
+    """As the classifier says, with columns of any name, repeated rows and two texts of one id."""
+    rng = random.Random(12)
+    rows = [(k % 55, t, "en", f"g{k}", k) for k, t in enumerate(prose(rng, 60) + ["#x** " * 30, None, "#x** " * 30])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, gone_id string, kept int")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(5, 55)], "doc_id long, quality int, toxic int")
+    good = {tuple(r)[:2] for r in quality_classifier(docs, labels).join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text", "kept").where("kept").collect()}
+    got = sorted(tuple(r)[4] for r in kept_documents(docs, labels).collect())
+    assert set(range(63)) - set(got) >= {60, 62} and 61 in got and all(tuple(rows[k])[:2] in good for k in got)
+
+
 def test_scripts_stay_apart(spark):
     """Letters in another order are junk in every script."""
     rng = random.Random(11)
