@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.mixing import pfair_mix
 from loomgraph.llm.near_dedup import one_of_each
-from loomgraph.llm.quality_classifier import classified
+from loomgraph.llm.quality_classifier import kept_documents
 from loomgraph.llm.sentencepieces import sentencepiece_encode
 from loomgraph.llm.shared import Tables, documents
 from loomgraph.llm.suffix_dedup import suffix_array_dedup
@@ -25,7 +25,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps. Null and empty texts and languages without trusted rows stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classified(docs, labels, COLUMNS).where("kept").select(*COLUMNS)
+    return kept_documents(docs.select(*COLUMNS), labels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
