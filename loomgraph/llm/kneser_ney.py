@@ -353,7 +353,8 @@ def scored(docs: DataFrame, models: DataFrame, columns: list[str], more: Callabl
     rows = wanted.select("lang", "shard", "salt", "block", "codes", none.alias("model"), none.alias("tops"), none.alias("ones")).unionByName(models)
     rows = rows.repartition("lang", "shard", "salt").sortWithinPartitions("lang", "shard", "salt", "block")
     answers = rows.mapInArrow(tidy(answered), "block int, lang string, shard int, bits binary")
-    out = T.StructType().add("own", docs.select(*(F.col(f"`{c}`") for c in columns)).schema).add("key", "string").add("bits", "double").add("symbols", "long")
+    own = T.StructType([T.StructField(f.name, f.dataType) for f in docs.select(*(F.col(f"`{c}`") for c in columns)).schema])
+    out = T.StructType().add("own", own).add("key", "string").add("bits", "double").add("symbols", "long")
     for name, kind in (x.split() for x in schema.split(", ") if x):
         out = out.add(name, kind)
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(tidy_pair(added), out)
