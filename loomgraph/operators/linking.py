@@ -60,11 +60,11 @@ def topic_hubs(nodes: DataFrame, key: str, least: int = 3) -> tuple[DataFrame, D
 
 
 def compiled(tickets: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of finished tickets (run_id, ticket_id, texts, emotions); nodes that exist stay as they are, edges are added once."""
+    """Nodes and edges of finished tickets (run_id, ticket_id, texts, emotions); nodes that exist stay as they are, edges are always added."""
     n = F.least(F.size("texts"), F.size("emotions"))
     beats = tickets.where("status = 'completed'").withColumn("n", n).where("n > 0").select("run_id", "ticket_id", F.posexplode(F.arrays_zip(F.slice("texts", 1, n).alias("text"), F.slice("emotions", 1, n).alias("emotion"))).alias("beat_index", "beat"))
     beats = beats.select("run_id", "ticket_id", "beat_index", F.col("beat").getField("0").alias("text"), F.col("beat").getField("1").alias("raw")) if "0" in beats.schema["beat"].dataType.names else beats.select("run_id", "ticket_id", "beat_index", "beat.text", F.col("beat.emotion").alias("raw"))
     ids = beats.withColumn("id", F.concat(F.lit("syn_"), S.short_hash(F.concat_ws("_", "run_id", "ticket_id", F.col("beat_index").cast("string"))))).withColumn("emotion", S.canonical_emotion(F.col("raw")))
     w = Window.partitionBy("run_id", "ticket_id").orderBy("beat_index")
     edges = ids.select(F.lag("id").over(w).alias("src"), F.col("id").alias("dst"), F.concat(F.lag("emotion").over(w), F.lit("->"), F.col("emotion")).alias("transition")).where("src IS NOT NULL")
-    return ids.join(existing.select("id"), "id", "left_anti"), edges.distinct()
+    return ids.join(existing.select("id"), "id", "left_anti"), edges

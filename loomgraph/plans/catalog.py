@@ -299,9 +299,13 @@ def transition_topk(spark, d):
     return s.unionByName(k).withColumn("rn", F.row_number().over(w)).where("rn <= 10").select("role", "topic", "n")
 
 
-@query(f"WITH {LINES} SELECT topic, game, count(*) AS n FROM lines GROUP BY ALL HAVING count(*) > 0")
+@query(f"""WITH {LINES}, c AS (SELECT topic, game, count(*) AS n FROM lines GROUP BY ALL)
+  SELECT topic, game, n FROM c WHERE topic IN (SELECT topic FROM c GROUP BY topic HAVING count(*) > 1)""")
 def crossgame_topics(spark, d):
-    return event_lines(spark, d).groupBy("topic", "game").agg(F.count("*").alias("n"))
+    """Counts by game of the topics that more than one game has."""
+    counts = event_lines(spark, d).groupBy("topic", "game").agg(F.count("*").alias("n"))
+    several = counts.groupBy("topic").agg(F.count("*").alias("games")).where("games > 1")
+    return counts.join(several.select("topic"), "topic", "left_semi")
 
 
 # --- chains and windows ------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import graphs
+from ..operators import graphs, listings
 from ..sources import sinks
 from .catalog import EMO, query
 from .catalog_more import U
@@ -67,10 +67,12 @@ def json_extraction(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object(F.regexp_extract(text, r"(\{.*\})", 1), "$.k").alias("k"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[.] ([A-Z][a-z]+)', 1))), '|') AS nouns FROM documents")
+@query(r"""WITH s AS (SELECT doc_id, unnest(string_split(text, '. ')) AS sentence FROM documents),
+  w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(trim(regexp_replace(sentence, '\s+', ' ', 'g')), ' '), lambda x: x <> '')[2:]) AS word FROM s),
+  n AS (SELECT DISTINCT doc_id, word FROM w WHERE regexp_matches(word, '^\p{Lu}\p{L}+$'))
+  SELECT d.doc_id, coalesce((SELECT string_agg(word, '|' ORDER BY word) FROM n WHERE n.doc_id = d.doc_id), '') AS nouns FROM documents d""")
 def proper_nouns(spark, d):
-    found = F.regexp_extract_all("text", F.lit("[.] ([A-Z][a-z]+)"), 1)
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(found)), "|").alias("nouns"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(listings.proper_nouns(F.col("text")), "|").alias("nouns"))
 
 
 @query("SELECT doc_id FROM documents ORDER BY sha256('split1:' || doc_id), doc_id LIMIT 200")
@@ -104,14 +106,14 @@ def corpus_report(spark, d):
     return rows.groupingSets([["quality", "toxic"], ["lang"], []], "quality", "toxic", "lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("size"))
 
 
-@query(f"""WITH {LINES}, {EMO}, pc AS (SELECT src_emotion, dst_emotion, count(*) AS n FROM emo GROUP BY ALL), pr AS (SELECT src_emotion, dst_emotion, n / sum(n) OVER (PARTITION BY src_emotion) AS p FROM pc), t AS (SELECT form_id AS terminus, emotion FROM lines WHERE stage IS NOT NULL AND pos % 30 = 0),
+@query(f"""WITH {LINES}, {EMO}, pc AS (SELECT src_emotion, dst_emotion, count(*) AS n FROM emo GROUP BY ALL), pr AS (SELECT src_emotion, dst_emotion, n / sum(n) OVER (PARTITION BY src_emotion) AS p FROM pc), t AS (SELECT form_id AS terminus, emotion FROM lines WHERE stage IS NOT NULL),
   c AS (SELECT t.terminus, p.dst_emotion, -ln(greatest({U.format("'guide:' || t.terminus || ':' || p.dst_emotion")}, 2.0 ** -32)) / greatest(p.p, 0.01) AS k FROM t JOIN pr p ON t.emotion = p.src_emotion)
   SELECT terminus, dst_emotion FROM c QUALIFY row_number() OVER (PARTITION BY terminus ORDER BY k, dst_emotion) <= 2""")
 def guided_targets(spark, d):
     lines = event_lines(spark, d)
     counts = graphs.emotion_edges(lines).groupBy("src_emotion", "dst_emotion").agg(F.count("*").alias("n"))
     p = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("src_emotion")))
-    ends = lines.where("stage IS NOT NULL AND pos % 30 = 0").select(F.col("form_id").alias("terminus"), F.col("emotion").alias("src_emotion"))
+    ends = lines.where("stage IS NOT NULL").select(F.col("form_id").alias("terminus"), F.col("emotion").alias("src_emotion"))
     u = F.greatest(S.draw(F.lit("guide"), F.col("terminus"), F.col("dst_emotion")), F.lit(2.0**-32))
     c = ends.join(F.broadcast(p), "src_emotion").withColumn("k", -F.log(u) / F.greatest("p", F.lit(0.01)))
     w = Window.partitionBy("terminus").orderBy("k", "dst_emotion")

@@ -27,14 +27,18 @@ def read_corpora(spark: SparkSession, *paths: str) -> DataFrame:
 
     The game is the file's own, else its name without ``_full_dialogue.json`` or ``_dialogue.json``.
     A missing emotion is neutral, a missing topic, text or id is empty; a JSON null stays null only
-    where a text is null. Of files of one game a ``_full_`` one comes before a plain one.
+    where a text is null. Where a game has a ``_full_`` file, its plain files of the same name are left
+    out; all other files of a game are united, in the order of their names.
     """
     files = spark.read.schema(CORPUS).option("multiLine", True).json(list(paths)).withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1))
     stem = F.regexp_replace("file", r"(_full)?_dialogue\.json$|\.json$", "")
     files = files.withColumn("game", F.coalesce("game", stem))
-    w = Window.partitionBy("game").orderBy(F.when(F.col("file").contains("_full_"), 0).otherwise(1), "file")
-    files = files.withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    lines = files.select("game", F.posexplode("dialogue").alias("pos", "l")).select("game", F.col("pos").cast("long").alias("pos"), "l.*")
+    plain = F.regexp_replace("file", "_full_", "_")
+    files = files.withColumn("whole", F.max(F.col("file").contains("_full_")).over(Window.partitionBy("game", plain)))
+    files = files.where(~F.col("whole") | F.col("file").contains("_full_"))
+    w = Window.partitionBy("game").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.withColumn("before", F.coalesce(F.sum(F.size("dialogue")).over(w), F.lit(0)))
+    lines = files.select("game", "before", F.posexplode("dialogue").alias("pos", "l")).select("game", (F.col("before") + F.col("pos")).cast("long").alias("pos"), "l.*")
     return lines.fillna({"emotion": "neutral", "topic": "", "form_id": ""})
 
 
