@@ -209,10 +209,12 @@ def prose(beats: Column, setup: Column, speakers: Column, verbs: dict[str, list[
 
 def walk_context(beats: Column, fields: dict[str, str]) -> Column:
     """Lines ``label: values`` of the distinct values of a walk's beats, in their order; null without any."""
-    lines = []
-    for field, label in fields.items():
-        values = F.array_distinct(F.filter(F.transform(beats, lambda b, f=field: b[f]), lambda v: v.isNotNull() & (v != "")))
-        lines.append(F.when(F.size(values) > 0, F.concat(F.lit(label + ": "), F.array_join(values, ", "))))
+
+    def line(field: str, label: str) -> Column:
+        values = F.array_distinct(F.filter(F.transform(beats, lambda b: b[field]), lambda v: v.isNotNull() & (v != "")))
+        return F.when(F.size(values) > 0, F.concat(F.lit(label + ": "), F.array_join(values, ", ")))
+
+    lines = [line(field, label) for field, label in fields.items()]
     return F.nullif(F.concat_ws("\n", *lines), F.lit(""))
 
 
@@ -222,10 +224,13 @@ def setting_spec(spec: Column) -> Column:
     return F.struct(F.get(parts, F.lit(0)).alias("setting"), F.get(parts, F.lit(1)).try_cast("int").alias("version"))
 
 
-def first_sections(text: Column, names: list[str], most: int = 800) -> Column:
-    """The named top-level sections of a YAML text, each cut at ``most`` characters, joined by an empty line."""
-    section = lambda n: F.nullif(F.substring(F.regexp_extract(_text(text), rf"(?ms)^({n}:.*?)(?=^\w|\z)", 1), 1, most), F.lit(""))
-    return F.concat_ws("\n\n", *(section(n) for n in names))
+def excerpt(text: Column, titles: dict[str, str], each: int = 800, most: int = 2000) -> Column:
+    """Top-level sections of a YAML text by name, each under its title and cut at ``each`` characters; null without any."""
+    parts = []
+    for name, title in titles.items():
+        body = F.regexp_extract(_text(text), rf"(?s){name}:(.*?)(?=\n[a-z_]+:|\z)", 1)
+        parts.append(F.when(_text(text).contains(name + ":"), F.concat(F.lit(f"## {title}\n"), F.substring(body, 1, each))))
+    return F.nullif(F.substring(F.concat_ws("\n\n", *parts), 1, most), F.lit(""))
 
 
 def scored_sample(text: Column, question: str) -> Column:
