@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import texts as T
 
 
 def word_count(text: Column) -> Column:
@@ -37,14 +38,13 @@ def grade_reason(prose: Column, target: Column, beats: Column | None = None) ->
     return S.ordered(rules, F.lit(None).cast("string"))
 
 
-def word_reason(prose: Column, word: Column) -> Column:
-    """Rules of a short text that uses and defines one word."""
-    words, low = word_count(prose), F.lower(prose)
-    defined = low.contains(F.concat(word, F.lit(" means"))) | low.contains(F.concat(word, F.lit(" is ")))
+def word_reason(prose: Column, word: Column, forms: Column | None = None) -> Column:
+    """Rules of a short text that uses and defines one word, in any of its forms (by default only as it is)."""
+    words, low, forms = word_count(prose), F.lower(prose), F.array(word) if forms is None else forms
     return S.ordered(
         [
-            (words < 40, F.lit("too_short")), (words > 150, F.lit("too_long")), (~low.contains(word), F.lit("word_missing")),
-            (~defined, F.lit("no_definition")), (S.reading_grade(prose) > 8, F.lit("grade_too_high")), (S.has_any(low, S.META[:6]), F.lit("meta_commentary")),
+            (words < 40, F.lit("too_short")), (words > 150, F.lit("too_long")), (~F.arrays_overlap(T.tokens(prose), forms), F.lit("word_missing")),
+            (~T.word_defined(prose, word, forms), F.lit("no_definition")), (S.reading_grade(prose) > 8, F.lit("grade_too_high")), (S.has_any(low, S.META[:6]), F.lit("meta_commentary")),
         ],
         F.lit(None).cast("string"),
     )

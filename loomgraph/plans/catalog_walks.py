@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import texts as T
 from ..operators import crossings as C
-from ..operators import graphs
+from ..operators import analytics as A
+from ..operators import graphs, growth
 from ..operators import results as R
 from ..sources import stores
-from .catalog import EDGES, query
+from .catalog import EDGES, EMO, query, topic_graph
 from .catalog_more import U
 from .views import LINES, TALK, event_lines, table, talk_lines
 
@@ -31,8 +32,7 @@ def bridge_coverage(spark, d):
 def topic_walks(spark, d):
     lines = event_lines(spark, d)
     games = lines.groupBy("topic").agg(F.collect_set("game").alias("games"))
-    edges = graphs.lifted(graphs.line_edges(lines), lines).select(F.col("src_topic").alias("src"), F.col("dst_topic").alias("dst"))
-    return C.topic_walks(edges, games, games.select(F.col("topic").alias("walk_id"), "topic"), 4)
+    return C.topic_walks(graphs.topic_edges(lines), games, games.select(F.col("topic").alias("walk_id"), "topic"), 4)
 
 
 @query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst AND kind = 'sequential'), l AS (SELECT src, dst FROM e WHERE src IN (SELECT src FROM e GROUP BY src HAVING count(*) = 1) AND dst IN (SELECT dst FROM e GROUP BY dst HAVING count(*) = 1)),
@@ -81,3 +81,50 @@ def united_plugins(spark, d):
 def bible_excerpts(spark, d):
     text = F.concat(F.lit("names:\n  - "), "lang", F.lit("\nother:\n  x\nsides: "), "source")
     return table(spark, d, "documents").select("doc_id", T.excerpt(text, {"names": "Names", "sides": "Sides"}).alias("excerpt"))
+
+
+@query(f"""WITH {EDGES}, n AS (SELECT form_id AS id, any_value(emotion) AS emotion FROM lines GROUP BY 1), t AS (SELECT a.emotion AS s, b.emotion AS t, count(*) AS n FROM edges e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst GROUP BY ALL), m AS (SELECT emotion, count(*) AS n FROM n GROUP BY 1)
+  SELECT 'transition' AS kind, s || '->' || t AS value, CAST(n AS BIGINT) AS n, round(n / sum(n) OVER (), 6) AS p FROM t UNION ALL SELECT 'emotion', emotion, n, round(n / sum(n) OVER (), 6) FROM m
+  UNION ALL SELECT 'self_loops', 'all', CAST(sum(CASE WHEN s = t THEN n ELSE 0 END) AS BIGINT), round(sum(CASE WHEN s = t THEN n ELSE 0 END) / sum(n), 6) FROM t""")
+def target_statistics(spark, d):
+    lines = event_lines(spark, d)
+    return growth.target_statistics(lines.select(F.col("form_id").alias("id"), "emotion"), graphs.line_edges(lines))
+
+
+@query(f"""WITH {EDGES}, e AS (SELECT mode(emotion ORDER BY emotion DESC) AS commonest, count(*) AS nodes FROM lines)
+  SELECT nodes, commonest, (SELECT count(*) FROM edges) AS edges, round((SELECT count(*) FROM edges) / nodes, 6) AS avg_degree FROM e""")
+def graph_summary(spark, d):
+    lines = event_lines(spark, d)
+    return growth.graph_summary(lines.select(F.col("form_id").alias("id"), "emotion"), graphs.line_edges(lines))
+
+
+@query(f"""WITH {LINES}, {EMO}, c AS (SELECT count(DISTINCT game) AS g FROM emo GROUP BY src_emotion, dst_emotion)
+  SELECT 'lines' AS kind, game AS value, count(*) AS n FROM lines GROUP BY game UNION ALL SELECT 'edges', game, count(*) FROM emo GROUP BY game
+  UNION ALL SELECT 'cells', 'all', count(*) FROM c UNION ALL SELECT 'bridges', 'all', count(*) FILTER (WHERE g > 1) FROM c""")
+def bridge_statistics(spark, d):
+    lines = event_lines(spark, d)
+    return growth.bridge_statistics(lines, graphs.emotion_edges(lines))
+
+
+@query(f"""WITH {LINES}, g AS (SELECT game, row_number() OVER (ORDER BY game) - 1 AS r, count(*) OVER () AS k FROM (SELECT DISTINCT game FROM lines)), s AS (SELECT game, 30 // k + CASE WHEN r < 30 % k THEN 1 ELSE 0 END AS n FROM g),
+  w AS (SELECT form_id AS walk_id, l.game, n, row_number() OVER (PARTITION BY l.game ORDER BY {U.format("'run:' || form_id")}, form_id) AS place FROM lines l JOIN s ON s.game = l.game) SELECT walk_id, game, place FROM w WHERE place <= n""")
+def run_walks(spark, d):
+    return growth.run_walks(event_lines(spark, d).select(F.col("form_id").alias("walk_id"), "game"), 30)
+
+
+@query()
+def stopped_walks(spark, d):
+    nodes, edges = topic_graph(spark, d)
+    return growth.stopped_walks(A.walks(edges, nodes.select(F.col("id").alias("walk_id"), "id"), 6, revisit=True))
+
+
+@query()
+def grown_graph(spark, d):
+    """The talk's quests as walks, hung on the events of one game until there are as many nodes again."""
+    lines, talk = event_lines(spark, d), talk_lines(spark, d)
+    own = lines.where("game = 'g0'")
+    reference = graphs.emotion_edges(lines).groupBy(*growth.TRANSITION).agg(F.count("*").alias("n"))
+    beats = talk.select(F.col("quest").alias("walk_id"), F.col("pos").alias("place"), "emotion", "text")
+    edges = graphs.line_edges(lines).where("game = 'g0'")
+    nodes, grown = growth.grown(own.select(F.col("form_id").alias("id"), "emotion", "text"), edges, reference, beats, 2 * own.count(), 20, 3)
+    return nodes.select("id", "emotion").join(grown.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")), "id", "left")

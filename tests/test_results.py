@@ -189,3 +189,45 @@ def test_empty_and_null_results(spark):
     assert R.merged_additions(empty).count() == R.bible_context(R.merged_additions(empty)).count() == R.curator_batch(empty, 3).count() == 0
     rows = spark.createDataFrame([(None, "proper_noun", None, "X", "approved", 1), (None, "proper_noun", None, "X", "approved", 2), ("s", "idiom", None, "", "approved", 3)], empty.schema)
     assert [(r["cluster"], r["first"], r["support"]) for r in R.merged_additions(rows).collect()] == [("misc", 1, 2)]
+
+
+def test_word_reason(spark):
+    from loomgraph.operators import filters
+
+    story = "To haggle is to argue. " + "They met. He sat. She ran. " * 7
+    reason = lambda text, *forms: one(spark, filters.word_reason(F.lit(text), F.lit("haggle"), F.array(*map(F.lit, forms)) if forms else None))
+    assert reason(story) is None
+    assert reason("To haggle is to argue.") == "too_short"
+    assert reason(story.replace("haggle", "haggled")) == "word_missing"
+    assert reason(story.replace("To haggle is to argue.", "They haggled all the day, as ever."), "haggle", "haggled") == "no_definition"
+
+
+def test_growth(spark):
+    from loomgraph.operators import growth
+
+    nodes = spark.createDataFrame([("a", "sad", "x"), ("b", "sad", "y")], "id string, emotion string, text string")
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    reference = spark.createDataFrame([("sad", "happy", 3), ("sad", "sad", 1)], "src_emotion string, dst_emotion string, n long")
+    beats = [(w, i, e, f"{w}{i}") for w in "pqrs" for i, e in enumerate(["sad", "happy"])] + [("t", 0, "sad", "t"), ("t", 1, "sad", "t")]
+    walks = spark.createDataFrame(beats, "walk_id string, place int, emotion string, text string")
+    more, linked = growth.grown(nodes, edges, reference, walks, 6, 1)
+    got = {r["id"]: r["emotion"] for r in more.collect()}
+    assert len(got) == 6 and sorted(got.values()) == ["happy", "happy", "sad", "sad", "sad", "sad"]
+    ends = [(r["src"], r["dst"]) for r in linked.collect()]
+    assert len(ends) == 5 and all(got[a] == "sad" for a, _ in ends) and all(a in got and b in got for a, b in ends)
+    rest, _ = growth.grown(nodes, edges, reference, walks, 100, 10)
+    assert rest.count() == 10  # only walks that close a gap
+    stats = {(r["kind"], r["value"]): r["p"] for r in growth.target_statistics(more, linked).collect()}
+    assert stats["self_loops", "all"] == 0.6 and stats["emotion", "sad"] == 0.666667
+    empty = growth.target_statistics(nodes, edges.limit(0)).collect()
+    assert {r["kind"] for r in empty} == {"emotion"}
+
+
+def test_stopped_walks(spark):
+    from loomgraph.operators import growth
+
+    rows = [("w", i, n) for i, n in enumerate("abcbd")] + [("v", 0, "a"), ("v", 1, "b"), ("u", 0, "a"), ("u", 1, "a")]
+    got = growth.stopped_walks(spark.createDataFrame(rows, "walk_id string, step int, id string")).orderBy("walk_id", "step").collect()
+    assert "".join(r["walk_id"] + r["id"] for r in got) == "uavavbwawbwc"
+    topics = spark.createDataFrame([("g", f"t{i}", i) for i in range(10)], "game string, topic string, n long")
+    assert {r["n"] for r in growth.frequent_topics(topics, "n", 0.2, 2).collect()} == {2, 3, 4, 5, 6}
