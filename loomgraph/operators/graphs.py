@@ -22,16 +22,39 @@ def decoded_conditions(conditions: DataFrame) -> DataFrame:
     })
 
 
+#: Rows of a task that sorts.
+TASK_ROWS = 100_000
+
+
+def parts_for(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // TASK_ROWS))
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys over tasks whose number grows with the rows; Spark does not put such tasks together again."""
+    return rows.repartition(parts_for(rows), *keys)
+
+
 def sequential_edges(lines: DataFrame) -> DataFrame:
     """Each line to the next of its topic, by stage (none is 0), then position."""
     w = Window.partitionBy("game", "topic").orderBy(F.coalesce("stage", F.lit(0.0)), "pos")
-    return lines.select("game", F.col("form_id").alias("src"), F.lead("form_id").over(w).alias("dst"), F.lit("sequential").alias("kind"), F.lit(1.0).alias("weight")).where("dst IS NOT NULL")
+    return spread(lines.select("game", "topic", "stage", "pos", "form_id"), "game", "topic").select("game", F.col("form_id").alias("src"), F.lead("form_id").over(w).alias("dst"), F.lit("sequential").alias("kind"), F.lit(1.0).alias("weight")).where("dst IS NOT NULL")
+
+
+def first_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and form_id of the line with the smallest pos; rows with a null key are left out.
+
+    The smallest pos comes from an aggregation in a hash table. Strings beside it would have each task sort all its rows.
+    """
+    least = lines.groupBy(*keys).agg(F.min("pos").alias("pos"))
+    return lines.join(least, [*keys, "pos"]).groupBy(*keys).agg(F.min("form_id").alias("form_id"))
 
 
 def branch_edges(lines: DataFrame, hub: str = "GREETING") -> DataFrame:
     """Each line of the hub topic to the first line of each other topic of its quest."""
     kept = lines.where("quest IS NOT NULL AND quest <> ''")
-    firsts = kept.where(F.col("topic") != hub).groupBy("game", "quest", "topic").agg(F.min_by("form_id", "pos").alias("dst"))
+    others = kept.select("game", "quest", "topic", "pos", "form_id").where(F.col("topic") != hub)
+    firsts = first_lines(others, ["game", "quest", "topic"]).select("game", "quest", F.col("form_id").alias("dst"))
     hubs = kept.where(F.col("topic") == hub).select("game", "quest", F.col("form_id").alias("src"))
     return hubs.join(firsts, ["game", "quest"]).select("game", "src", "dst", F.lit("topic_branch").alias("kind"), F.lit(0.5).alias("weight"))
 
@@ -39,7 +62,8 @@ def branch_edges(lines: DataFrame, hub: str = "GREETING") -> DataFrame:
 def gate_edges(lines: DataFrame) -> DataFrame:
     """Both ways between the first lines of each two states of a (quest, topic); lines without a condition are one state."""
     state = F.coalesce(F.col("stage").cast("string"), F.lit(""))
-    firsts = lines.groupBy("game", F.coalesce("quest", F.lit("")).alias("quest"), "topic", state.alias("state")).agg(F.min_by("form_id", "pos").alias("id"))
+    named = lines.select("game", F.coalesce("quest", F.lit("")).alias("quest"), "topic", state.alias("state"), "pos", "form_id")
+    firsts = first_lines(named, ["game", "quest", "topic", "state"]).withColumnRenamed("form_id", "id")
     other = firsts.select("game", "quest", "topic", F.col("state").alias("other"), F.col("id").alias("dst"))
     return firsts.join(other, ["game", "quest", "topic"]).where("state <> other").select("game", F.col("id").alias("src"), "dst", F.lit("condition_gate").alias("kind"), F.lit(0.3).alias("weight"))
 
@@ -51,14 +75,21 @@ def line_edges(lines: DataFrame) -> DataFrame:
 def collapsed(edges: DataFrame) -> DataFrame:
     """One edge a pair: of parallel edges the last kind in building order wins."""
     rank = F.when(F.col("kind") == "sequential", 1).when(F.col("kind") == "topic_branch", 2).otherwise(3)
-    return edges.groupBy("game", "src", "dst").agg(F.max_by(F.struct("kind", "weight"), rank).alias("e")).select("game", "src", "dst", "e.kind", "e.weight")
+    dealt = edges.repartition("game", "src", "dst")  # before the aggregation, whose tasks sort their rows
+    return dealt.groupBy("game", "src", "dst").agg(F.max_by(F.struct("kind", "weight"), rank).alias("e")).select("game", "src", "dst", "e.kind", "e.weight")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(game, id) with distinct neighbours out_deg, in_deg and edge counts out_edges, in_edges; no edges give zeros."""
-    out = edges.groupBy("game", F.col("src").alias("id")).agg(F.count_distinct("dst").alias("out_deg"), F.count("*").alias("out_edges"))
-    into = edges.groupBy("game", F.col("dst").alias("id")).agg(F.count_distinct("src").alias("in_deg"), F.count("*").alias("in_edges"))
-    return nodes.select("game", F.col("form_id").alias("id")).join(out, ["game", "id"], "left").join(into, ["game", "id"], "left").fillna(0, ["out_deg", "out_edges", "in_deg", "in_edges"])
+    end = lambda side, id, other: F.struct(F.lit(side).alias("side"), F.col(id).alias("id"), F.col(other).alias("other"))
+    ends = edges.select("game", F.explode(F.array(end(1, "src", "dst"), end(2, "dst", "src"))).alias("e")).select("game", "e.*").where("game IS NOT NULL AND id IS NOT NULL")
+    named = nodes.select("game", F.lit(0).alias("side"), F.col("form_id").alias("id"), F.lit(None).cast("string").alias("other"))
+    # one exchange for both aggregations: a row for each neighbour, then a row for each node
+    pairs = named.unionByName(ends).repartition(parts_for(nodes), "game", "id").groupBy("game", "id", "side", "other").agg(F.count("*").alias("n"))
+    of = lambda side, n: F.coalesce(F.sum(F.when(F.col("side") == side, n)), F.lit(0))
+    known = F.col("other").isNotNull().cast("long")
+    sums = pairs.groupBy("game", "id").agg(of(0, F.col("n")).alias("times"), of(1, known).alias("out_deg"), of(1, F.col("n")).alias("out_edges"), of(2, known).alias("in_deg"), of(2, F.col("n")).alias("in_edges"))
+    return sums.withColumn("times", F.explode(F.expr("CASE WHEN times > 0 THEN sequence(1, times) END"))).drop("times")
 
 
 def topic_edges(lines: DataFrame) -> DataFrame:
@@ -107,9 +138,12 @@ def topic_degrees(edges: DataFrame) -> DataFrame:
 
 def emotion_edges(lines: DataFrame) -> DataFrame:
     """Consecutive lines of a topic in file order, with both emotions; an id seen twice counts once, as last seen."""
-    last = lines.where("form_id IS NOT NULL AND form_id <> ''").groupBy("game", "form_id").agg(F.max_by(F.struct("topic", "emotion", "pos"), "pos").alias("l"), F.min("pos").alias("first"))
-    w = Window.partitionBy("game", "l.topic").orderBy("first")
-    e = last.select("game", F.col("form_id").alias("src"), F.lead("form_id").over(w).alias("dst"), F.col("l.emotion").alias("src_emotion"), F.lead("l.emotion").over(w).alias("dst_emotion"))
+    named = lines.select("game", "form_id", "topic", "emotion", "pos").where("form_id IS NOT NULL AND form_id <> ''")
+    same = Window.partitionBy("game", "form_id")
+    seen = spread(named, "game", "form_id").withColumns({"first": F.min("pos").over(same), "later": F.lead(F.lit(True)).over(same.orderBy("pos"))})
+    last = seen.where("later IS NULL").drop("later", "pos")
+    w = Window.partitionBy("game", "topic").orderBy("first")
+    e = last.repartition(parts_for(named), "game", "topic").select("game", F.col("form_id").alias("src"), F.lead("form_id").over(w).alias("dst"), F.col("emotion").alias("src_emotion"), F.lead("emotion").over(w).alias("dst_emotion"))
     return e.where("dst IS NOT NULL")
 
 

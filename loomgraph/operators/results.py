@@ -15,6 +15,7 @@ from ..functions import scalars as S
 from ..functions import texts as T
 from ..shipping import ship
 from .analytics import cut
+from .graphs import parts_for
 
 
 def _firsts(rows: DataFrame) -> DataFrame:
@@ -289,7 +290,8 @@ def node_context(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: i
     An end that is no node is passed over but followed.
     """
     near, far = ("dst", "src") if back else ("src", "dst")
-    first = edges.groupBy(F.col(near).alias("at")).agg(F.min_by(far, "pos").alias("next"))
+    dealt = edges.select(F.col(near).alias("at"), far, "pos").repartition(parts_for(starts), "at")  # before the aggregation, whose tasks sort their rows
+    first = dealt.groupBy("at").agg(F.min_by(far, "pos").alias("next"))
     state = starts.select(F.col("id").alias("start"), F.col("id").alias("at"))
     parts = []
     for hop in range(1, depth + 1):
@@ -359,3 +361,16 @@ def aesop_report(rows: DataFrame) -> DataFrame:
     """(reason, n, avg_walks, avg_words): passed rows with null, failed ones by the first word of their reason."""
     reason = F.when(F.col("reason").isNotNull(), F.substring_index("reason", "_", 1))
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.round(F.avg("walks"), 6).alias("avg_walks"), F.round(F.avg("words"), 6).alias("avg_words"))
+
+
+def sharing(rows: DataFrame, item: str, key: str) -> DataFrame:
+    """(a, b, shared): pairs of items, the smaller first, that have two keys or more in common, and how many.
+
+    Items meet through pairs of their keys, which only those with two common keys do. c common pairs come from
+    (1 + sqrt(1 + 8 c)) / 2 common keys. An item of k keys has k (k - 1) / 2 rows in the exchange.
+    """
+    held = rows.select(F.col(item).alias("item"), F.col(key).alias("x")).where("item IS NOT NULL AND x IS NOT NULL").repartition("item").distinct()
+    two = held.join(held.withColumnRenamed("x", "y"), "item").where("x < y")
+    both = two.withColumnRenamed("item", "a").join(two.withColumnRenamed("item", "b"), ["x", "y"]).where("a < b")
+    counts = both.groupBy("a", "b").agg(F.count("*").alias("c"))
+    return counts.select("a", "b", F.round((1 + F.sqrt(1 + 8 * F.col("c"))) / 2).cast("long").alias("shared"))

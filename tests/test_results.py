@@ -245,3 +245,46 @@ def test_fable_filter(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == sorted(con.execute(registry.SQL["fable_filter"]).fetchall(), key=repr)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sorting_aggregations_come_after_the_exchange(spark):
+    """Strings beside an aggregation make its tasks sort their rows; such tasks are dealt by rows, not those that read."""
+    from loomgraph.operators import graphs
+
+    lines = spark.createDataFrame([("g", k, f"f{k}", f"t{k % 2}", "q", "sad", 1.0 * (k % 3)) for k in range(9)], "game string, pos long, form_id string, topic string, quest string, emotion string, stage double")
+    edges = spark.createDataFrame([("g", "a", "b", "sequential", 1.0), ("g", "a", "b", "condition_gate", 0.3), ("g", "b", None, "x", 0.1)], "game string, src string, dst string, kind string, weight double")
+    assert "min_by" not in plan(graphs.branch_edges(lines)) + plan(graphs.gate_edges(lines)) and "max_by" not in plan(graphs.emotion_edges(lines))
+    for text, name in ((plan(graphs.collapsed(edges)), "partial_max_by"), (plan(R.node_context(edges.withColumn("pos", F.col("dst")), edges.select(F.col("src").alias("id")), edges.select(F.col("src").alias("id")))), "partial_min_by")):
+        first = text.index(name)
+        assert "Exchange" in text[first:].split("Scan")[0]
+    nodes = spark.createDataFrame([("g", "a"), ("g", "b"), ("g", "b"), ("g", None), ("h", "a")], "game string, form_id string")
+    got = graphs.degrees(nodes, edges)
+    assert plan(got).count("Scan") == 2  # nodes and edges once each
+    assert sorted(map(tuple, got.select("game", "id", "out_deg", "out_edges", "in_deg", "in_edges").collect()), key=repr) == sorted(
+        [("g", "a", 1, 2, 0, 0), ("g", "b", 0, 1, 1, 2), ("g", "b", 0, 1, 1, 2), ("g", None, 0, 0, 0, 0), ("h", "a", 0, 0, 0, 0)], key=repr
+    )
+
+
+def test_sharing(spark):
+    rows = [(a, k) for a, keys in {1: "abcde", 2: "abc", 3: "abx", 4: "z", 5: "edcba"}.items() for k in keys * 2] + [(6, None), (None, "a")]
+    got = {(r["a"], r["b"]): r["shared"] for r in R.sharing(spark.createDataFrame(rows, "i long, k string"), "i", "k").collect()}
+    assert got == {(1, 2): 3, (1, 3): 2, (1, 5): 5, (2, 3): 2, (2, 5): 3, (3, 5): 2}
+
+
+def test_jumps_sort_no_options(spark, monkeypatch):
+    plans, cut = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df: plans.append(plan(df)) or cut(df))
+    edges = spark.createDataFrame([(g, f"{g}{i}", f"{g}{i + 1}", "sad", "sad") for g in "gh" for i in range(3)], "game string, src string, dst string, src_emotion string, dst_emotion string")
+    C.bridge_walks(edges, spark.createDataFrame([("w", "g", "g0")], "walk_id string, game string, id string"), 2, cross=1.0)
+    assert not any("partial_min_by(struct(to_game" in p or "partial_min_by(named_struct(to_game" in p for p in plans)
+
+
+def test_chains_take_no_distinct_rows(spark, monkeypatch):
+    plans, cut = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df: plans.append((df.columns, plan(df))) or cut(df))
+    C.linear_chains(spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)], "src string, dst string"))
+    assert not any("Union" in p and "HashAggregate" in p for columns, p in plans if "place" in columns)
