@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import graphs, listings
+from ..operators import results as R
 from ..sources import sinks
 from .catalog import EMO, query
 from .catalog_more import U
@@ -24,9 +25,7 @@ def emotion_validation(spark, d):
   SELECT a, b, shared FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) <= 5""")
 def shared_sources(spark, d):
     """Pairs of orders that share two parts or more, five partners each at most."""
-    p = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    a, b = p.select(F.col("l_orderkey").alias("a"), "l_partkey"), p.select(F.col("l_orderkey").alias("b"), "l_partkey")
-    pairs = a.join(b, "l_partkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2")
+    pairs = R.sharing(table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey")
     w = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
     return pairs.withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
 
