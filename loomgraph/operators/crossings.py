@@ -33,7 +33,9 @@ def bridge_walks(edges: DataFrame, starts: DataFrame, steps: int, cross: float =
     pair = ["src_emotion", "dst_emotion"]
     slot = F.pmod(F.xxhash64("src", "dst"), F.lit(SLOTS))
     ends = e.groupBy(*pair, F.col("game").alias("to_game"), slot.alias("slot")).agg(F.min_by("dst", _draw(seed, F.col("src"), F.col("dst"))).alias("jump"))
-    ends = cut(ends)
+    # a draw of 32 bits and a member's rank in its cell are one number, so that the smallest draw of a walk comes from a hash table
+    listed = ends.groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("to_game", "jump", "slot"))).alias("cell"))
+    ends = F.broadcast(cut(listed.select(*pair, F.posexplode("cell").alias("rank", "m")).select(*pair, "rank", "m.*")))
     state = starts.select("walk_id", "game", "id", F.array("id").alias("path"))
     out = [starts.select("walk_id", F.lit(0).alias("step"), "game", "id", F.lit(False).alias("crossed"))]
     for step in range(1, steps + 1):
@@ -48,9 +50,10 @@ def bridge_walks(edges: DataFrame, starts: DataFrame, steps: int, cross: float =
         odds = F.when((F.col("src_emotion") == "neutral") & (F.col("dst_emotion") == "neutral"), cross * 0.3).otherwise(cross)
         chosen = cut(chosen.withColumn("wants", _draw(seed + ":cross", F.col("walk_id"), at) < odds))
         v = _draw(seed + ":jump", F.col("walk_id"), at, F.col("to_game"), F.col("slot"))
-        jumps = chosen.where("wants").select("walk_id", "game", *pair).join(ends, pair).where("to_game <> game")
-        jumps = jumps.groupBy("walk_id").agg(F.min_by(F.struct("to_game", "jump"), F.struct(v, F.col("to_game"), F.col("jump"))).alias("j")).select("walk_id", "j.*")
-        both = chosen.join(jumps, "walk_id", "left")
+        code = F.shiftleft((v * 4294967296).cast("long"), 31) + F.col("rank")
+        jumps = chosen.where("wants").select("walk_id", "game", *pair).join(ends, pair).where("to_game <> game").groupBy("walk_id").agg(F.min(code).alias("code"))
+        both = chosen.join(jumps, "walk_id", "left").withColumn("rank", F.col("code").bitwiseAND((1 << 31) - 1).cast("int")).drop("code")
+        both = both.join(ends.drop("slot"), [*pair, "rank"], "left")
         leaps = F.col("jump").isNotNull() & ~F.array_contains("path", F.col("jump"))
         follow = F.when(F.col("seen"), F.col("other")).otherwise(F.col("dst"))
         moved = both.select("walk_id", F.when(leaps, F.col("to_game")).otherwise(F.col("game")).alias("game"), F.when(leaps, F.col("jump")).otherwise(follow).alias("id"), F.coalesce(leaps, F.lit(False)).alias("crossed"), "path")
@@ -106,7 +109,7 @@ def linear_chains(edges: DataFrame, least: int = 3) -> DataFrame:
         reached = placed.join(jump.withColumnRenamed("src", "topic"), "topic").select("chain", (F.col("place") + F.col("hops")).alias("place"), F.col("dst").alias("topic"))
         if not reached.limit(1).count():
             break
-        placed = cut(placed.unionByName(reached).distinct())
+        placed = cut(placed.unionByName(reached))  # those reached lie beyond all that are placed
         far = jump.select(F.col("src").alias("mid"), F.col("dst").alias("end"), F.col("hops").alias("more"))
         jump = jump.join(far, F.col("dst") == F.col("mid")).select("src", F.col("end").alias("dst"), (F.col("hops") + F.col("more")).alias("hops"))
     size = F.count("*").over(Window.partitionBy("chain"))
