@@ -2,9 +2,9 @@
 
 A page is read into lines, one a block, in page order. Lines in menus, headers, footers, sidebars,
 notices, adverts, forms and comments are chrome; lines in an article or main element are settled as
-text. Pages of a host stand in the order of their URL paths. A page is paired with the neighbour
+text. Pages of a host stand in the order of their URL paths. Every page is paired with the neighbour
 whose path is nearer, their lines are aligned by a longest common subsequence, and shared lines that
-are not settled are deleted. Where a page has settled lines, lines outside them are not text.
+are not settled are deleted.
 """
 
 from __future__ import annotations
@@ -213,21 +213,30 @@ def nearness(a: str, b: str) -> int:
     return a[:n].count("/") * 10_000 + n
 
 
-def text_of(own: list, neighbours: list[tuple[str, list] | None], path: str) -> str:
-    """The text of a page's lines, given its neighbours' (path, lines) in the order of URL paths.
+def own_lines(lines: list[str], neighbours: list[tuple[str, list] | None], path: str) -> set[int] | None:
+    """Places of the lines that the nearest neighbour does not share; None if no neighbour tells.
 
     The nearest neighbour that leaves the page a line of its own decides; one that has them all is a
     copy of the page.
     """
-    if any(kind == SETTLED for kind, _ in own):
-        return "\n\n".join(t for kind, t in own if kind == SETTLED)
-    near = sorted((n for n in neighbours if n), key=lambda n: -nearness(path, n[0]))
-    lines = [t for _, t in own]
-    for _, other in near:
-        shared = common_lines(lines, [t for _, t in other])
-        if len(shared) < len(lines):
-            return "\n\n".join(t for k, t in enumerate(lines) if k not in shared)
-    return "\n\n".join(lines)
+    for _, other in sorted((n for n in neighbours if n), key=lambda n: -nearness(path, n[0])):
+        left = set(range(len(lines))) - common_lines(lines, [t for _, t in other])
+        if left:
+            return left
+    return None
+
+
+def text_of(own: list, neighbours: list[tuple[str, list] | None], path: str) -> str:
+    """The text of a page's lines, given its neighbours' (path, lines) in the order of URL paths.
+
+    Every page is differenced, and lines of its own are text. A check by elements follows: lines of
+    an article are text all the same where siblings share them. If no neighbour tells, the article
+    is the text, or the whole page where there is none.
+    """
+    left = own_lines([t for _, t in own], neighbours, path)
+    if left is None:
+        left = set() if any(kind == SETTLED for kind, _ in own) else set(range(len(own)))
+    return "\n\n".join(t for k, (kind, t) in enumerate(own) if kind == SETTLED or k in left)
 
 
 OUT = "page_id long, url string, text string, n_chars long"
@@ -284,9 +293,14 @@ def page_text(pages: DataFrame, part_bytes: int = 1 << 20) -> DataFrame:
 
     def done(rows: list[tuple]) -> pa.RecordBatch:
         """rows: a page, the one before and the one after, or None."""
-        out = []
+        out, read = [], {}
+
+        def lines(page: tuple) -> list:
+            found = read.get(id(page))  # the rows hold their pages meanwhile
+            return found if found is not None else read.setdefault(id(page), unpack(page[4]))
+
         for page, *near in rows:
-            text = text_of(unpack(page[4]), [(n[3], unpack(n[4])) if n and n[2] == page[2] else None for n in near], page[3])
+            text = text_of(lines(page), [(n[3], lines(n)) if n and n[2] == page[2] else None for n in near], page[3])
             out.append((page[0], page[1], text, len(text)))
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "url", "text", "n_chars"])
 
