@@ -43,27 +43,35 @@ def leaf(piece: str) -> str:
     return sha256(b"\0" + piece.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def fingerprint(text: str | None, known: dict[str, str] | None = None) -> str:
+def branch(line: str) -> tuple[str, str]:
+    """A paragraph's node and its part of the fingerprint."""
+    pieces = pieces_of(line)
+    leaves = [leaf(p) for p in pieces]
+    own = node(b"\1", leaves)
+    return own, f"{own[:SHORT]}[{','.join([f'{h[:SHORT]}.{len(p)}' for h, p in zip(leaves, pieces)])}]"
+
+
+def fingerprint(text: str | None, known: dict[str, tuple[str, str]] | None = None, others: dict[str, tuple[str, str]] | None = None) -> str:
     """The tree of a text; a null text is empty. Equal texts, and only those, have equal roots.
 
-    ``known`` gathers the leaves of the text's pieces, and gives those that are in it already.
+    ``known`` gathers the branches of the text's paragraphs, and gives those that are in it, or in
+    ``others``, already.
     """
     text = text or ""
     known = {} if known is None else known
+    others = others or {}
     names, out = [], []
     for section in SECTION_BREAK.split(text):
         paragraphs, own = [], []
         for line in section.splitlines(keepends=True):
-            pieces = pieces_of(line)
-            leaves = [known.get(p) or known.setdefault(p, leaf(p)) for p in pieces]
-            own.append(node(b"\1", leaves))
-            paragraphs.append(f"{own[-1][:SHORT]}[{','.join(f'{h[:SHORT]}.{len(p)}' for h, p in zip(leaves, pieces))}]")
+            name, part = known.get(line) or others.get(line) or known.setdefault(line, branch(line))
+            own.append(name)
+            paragraphs.append(part)
         names.append(node(b"\2", own))
         out.append(f"{names[-1][:SHORT]}({','.join(paragraphs)})")
     return f"{node(b'\3', names)}|{','.join(out)}"
 
 
-SECTIONS = re.compile(r"(\w+)\((.*?)\)")
 PARAGRAPHS = re.compile(r"(\w+)\[(.*?)\]")
 
 
@@ -89,18 +97,31 @@ def weight(leaves: str) -> int:
     return sum(map(int, re.findall(r"\.(\d+)", leaves)))
 
 
-def likeness(a: str, b: str) -> float:
-    """Share of the code points of two texts that stand in equal pieces, from their fingerprints: 0 to 1."""
+def sections_of(tree: str) -> list[tuple[str, str]]:
+    """(name, what is below) of a tree's sections."""
+    return [tuple(x.split("(", 1)) for x in tree[:-1].split("),")] if tree else []
+
+
+def paragraphs_of(belows: list[str]) -> list[tuple[str, str]]:
+    """(name, leaves) of the paragraphs below sections."""
+    return [tuple(x.split("[", 1)) for below in belows if below for x in below[:-1].split("],")]
+
+
+def likeness(a: str, b: str, total: int | None = None) -> float:
+    """Share of the code points of two texts that stand in equal pieces, from their fingerprints: 0 to 1.
+
+    ``total``: the code points of both texts, where known; else the pieces are added up.
+    """
     (root_a, _, tree_a), (root_b, _, tree_b) = a.partition("|"), b.partition("|")
     if root_a == root_b:
         return 1.0
-    both, ours, theirs = differing(SECTIONS.findall(tree_a), SECTIONS.findall(tree_b))
+    both, ours, theirs = differing(sections_of(tree_a), sections_of(tree_b))
     common = sum(map(weight, both))
-    both, ours, theirs = differing(PARAGRAPHS.findall(",".join(ours)), PARAGRAPHS.findall(",".join(theirs)))
+    both, ours, theirs = differing(paragraphs_of(ours), paragraphs_of(theirs))
     common += sum(map(weight, both))
-    ours_left, theirs_left = (Counter(x for x in ",".join(y).split(",") if x) for y in (ours, theirs))
-    common += sum(int(x.rpartition(".")[2]) * n for x, n in (ours_left & theirs_left).items())
-    total = weight(tree_a) + weight(tree_b)
+    ours_left, theirs_left = (Counter(",".join(y).split(",")) for y in (ours, theirs))
+    common += sum(int(x[SHORT + 1 :]) * min(ours_left[x], theirs_left[x]) for x in ours_left.keys() & theirs_left.keys() if x)
+    total = weight(tree_a) + weight(tree_b) if total is None else total
     return min(1.0, 2 * common / total) if total else 1.0
 
 
@@ -118,12 +139,12 @@ def edits(a: str, b: str) -> list[int]:
 COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def compared(doc_id, text: str, own: str, known: dict[str, str], after: str, after_print: str, after_known: dict[str, str]) -> tuple:
-    """A document's row, given the next document's text, fingerprint and leaves: most leaves of the edited text are among theirs."""
+def compared(doc_id, text: str, own: str, known: dict, after: str, after_print: str, after_known: dict) -> tuple:
+    """A document's row, given the next document's text, fingerprint and branches: most paragraphs of the edited text are among theirs."""
     half = len(text) // 2
     edited = text[: len(text) - half] + after[:half]
-    print_ = own if edited == text else fingerprint(edited, known | after_known)
-    return doc_id, len(text), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, print_, likeness(own, print_), likeness(own, after_print)
+    print_ = own if edited == text else fingerprint(edited, known, after_known)
+    return doc_id, len(text), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, print_, likeness(own, print_, len(text) + len(edited)), likeness(own, after_print, len(text) + len(after))
 
 
 def table_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -178,7 +199,7 @@ def merkle_fingerprints(docs: DataFrame, part_bytes: int = 2 << 20) -> DataFrame
                     last = None
                 if part == done:
                     continue
-                known: dict[str, str] = {}
+                known: dict[str, tuple[str, str]] = {}
                 own = fingerprint(text, known)
                 if last is not None:
                     rows.append(compared(*last[1:], text, own, known))

@@ -443,6 +443,13 @@ def test_short_article_in_a_long_template(spark):
     assert all(got[k] == f"own {k}" for k in range(5)) and "twin" in got[20] and "menu" in got[20]
 
 
+def test_article_is_differenced_too():
+    """Own lines beside an article are text and the template's are not; shared lines of the article stay."""
+    page = lambda k: [(0, "contact us"), (1, "shared passage"), (1, f"own {k}"), (0, f"end of story {k}"), (0, "all rights")]
+    assert page_text.text_of(page(1), [("/a/0", page(0)), ("/a/2", page(2))], "/a/1") == "shared passage\n\nown 1\n\nend of story 1"
+    assert page_text.text_of(page(1), [("/a/0", page(1)), None], "/a/1") == "shared passage\n\nown 1"
+
+
 @pytest.mark.parametrize("part_bytes", [1 << 20, 800])
 def test_pages(spark, part_bytes):
     page = lambda own: f"<div>menu item</div><p>{own}</p><div>contact us</div>"
@@ -454,6 +461,20 @@ def test_pages(spark, part_bytes):
     assert not page_text.page_text(docs.limit(0)).count()
 
 
+def test_merkle_reuses_paragraphs(monkeypatch):
+    """An edited text costs only its cut paragraphs, and has the fingerprint that it has by itself."""
+    a, b = "".join(f"Line {k} of a.\n\n" for k in range(20)), "".join(f"Line {k} of b!\n" for k in range(40))
+    ours, theirs = {}, {}
+    prints = merkle.fingerprint(a, ours), merkle.fingerprint(b, theirs)
+    edited = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+    whole, made = merkle.fingerprint(edited), []
+    pieces = merkle.pieces_of
+    monkeypatch.setattr(merkle, "pieces_of", lambda line: made.append(line) or pieces(line))
+    row = merkle.compared(1, a, prints[0], ours, b, prints[1], theirs)
+    assert row[4] == whole and len(made) <= 2
+    assert row[5] == merkle.likeness(prints[0], whole) and row[6] == merkle.likeness(*prints)
+
+
 @pytest.mark.parametrize("part_bytes", [1 << 20, 60])
 def test_merkle(spark, part_bytes):
     rows = [(k * 3 % 31, f"Text {k}. More é of it.\nLine {k}\n\nNext section, line {k}.") for k in range(31)] + [(100, None), (101, ""), (None, "last"), (5, "same id")]
