@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .analytics import cut
+from .graphs import parts_for
 
 #: Members of a cell are kept in so many hash slots; a jump draws a slot, then the member there with the smallest draw.
 SLOTS = 64
@@ -38,11 +39,12 @@ def bridge_walks(edges: DataFrame, starts: DataFrame, steps: int, cross: float =
     ends = F.broadcast(cut(listed.select(*pair, F.posexplode("cell").alias("rank", "m")).select(*pair, "rank", "m.*")))
     state = starts.select("walk_id", "game", "id", F.array("id").alias("path"))
     out = [starts.select("walk_id", F.lit(0).alias("step"), "game", "id", F.lit(False).alias("crossed"))]
+    parts = parts_for(starts)
     for step in range(1, steps + 1):
         at = F.lit(step)
         options = state.join(e.select(F.col("src").alias("id"), F.col("dst"), *pair), "id").withColumn("seen", F.array_contains("path", F.col("dst")))
         u = _draw(seed + ":edge", F.col("walk_id"), at, F.col("dst"))
-        choice = options.groupBy("walk_id").agg(
+        choice = options.repartition(parts, "walk_id").groupBy("walk_id").agg(
             F.min_by(F.struct("game", "path", "dst", "seen", *pair), F.struct(u, F.col("dst"))).alias("c"),
             F.min_by("dst", F.when(~F.col("seen"), F.struct(u, F.col("dst")))).alias("other"),
         )
