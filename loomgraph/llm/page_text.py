@@ -12,14 +12,16 @@ from __future__ import annotations
 import json
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from html import unescape
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -42,9 +44,12 @@ CHROME_WORD = re.compile(
 )
 CHROME_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
 MAIN_WORD = re.compile(r"^(article|article-body|article-content|post-content|post-body|entry-content|main-content|story-body)$")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 SETTLED, OPEN = 1, 0
+#: The zones of tags of up to so many characters are kept.
+KEPT_CHARS = 200
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -62,11 +67,20 @@ def zone_of(name: str, given: dict[str, str], in_main: bool) -> int | None:
     return None
 
 
+def zone_in(name: str, text: str, in_main: bool) -> int | None:
+    """zone_of() of attributes as they are written."""
+    return zone_of(name, attributes(text), in_main)
+
+
+kept_zone = lru_cache(maxsize=4096)(zone_in)
+
+
 def lines_of(html: str | None) -> list[tuple[int, str]]:
     """(SETTLED or OPEN, text) of each block of a page that is not chrome."""
     html = html or ""
     lines: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []  # open elements with a zone, and those that can hold them
+    standing: Counter[str] = Counter()  # their names
     chrome = main = 0
     held: list[str] = []
 
@@ -100,9 +114,10 @@ def lines_of(html: str | None) -> list[tuple[int, str]]:
         elif name == "br" and not chrome:
             held.append(" ")
         if tag[1]:
-            if any(n == name for n, _ in stack):
+            if standing[name]:
                 while stack:
                     n, zone = stack.pop()
+                    standing[n] -= 1
                     if zone:
                         if not chrome:
                             close()
@@ -113,20 +128,22 @@ def lines_of(html: str | None) -> list[tuple[int, str]]:
             continue
         if name in RAW:
             if name != "head" and not tag[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+                end = RAW_END[name].search(html, at)
                 at = end.end() if end else size
             continue
         if name in VOID:
             continue
-        zone = zone_of(name, attributes(tag[3]), main > 0)
+        zone = (kept_zone if len(tag[0]) <= KEPT_CHARS else zone_in)(name, tag[3], main > 0)
         if name == "p" and stack and stack[-1][0] == "p":  # a new paragraph ends the one before
             _, old = stack.pop()
+            standing["p"] -= 1
             chrome -= old == -1
             main -= old == 1
-        if zone or name in BLOCK or stack and any(n == name for n, _ in stack):
+        if zone or name in BLOCK or standing[name]:
             if zone and not chrome:
                 close()
             stack.append((name, zone or 0))
+            standing[name] += 1
             chrome += zone == -1
             main += zone == 1
     if not chrome:
@@ -240,17 +257,16 @@ def text_of(own: list, neighbours: list[tuple[str, list] | None], path: str) ->
 
 
 OUT = "page_id long, url string, text string, n_chars long"
-PAGE = ["page_id", "url", "host", "path", "lines"]
-EDGE = "page_id long, url string, host string, path string, lines binary, part int, role string, near string"
+LAID = "page_id long, url string, host string, path string, lines binary, part int, guest boolean"
 SAMPLE = 20  # pages looked at for each bound between ranges
 
 
-def pack(lines: list) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(json.dumps(lines).encode())
+def pack(lines: list, squeeze: Callable) -> bytes:
+    return squeeze(json.dumps(lines).encode())
 
 
-def unpack(data: bytes) -> list:
-    return json.loads(zstandard.ZstdDecompressor().decompress(data))
+def unpack(data: bytes, expand: Callable) -> list:
+    return json.loads(expand(data))
 
 
 def order_of(host: str, path: str, page_id: int | None) -> tuple:
@@ -264,6 +280,29 @@ def bounds_of(pages: DataFrame, parts: int) -> list[tuple]:
     return sorted(set(keys[len(keys) * k // parts] for k in range(1, parts))) if keys else []
 
 
+def guests_of(pages: DataFrame, bounds: list[tuple]) -> dict[tuple, list[int]]:
+    """Keys of the pages at the ends of ranges, each with the ranges beside its own: its neighbours there need it. Two keys a range go to the driver."""
+    if not bounds:
+        return {}
+
+    def place(batches):
+        for batch in batches:
+            got = batch.to_pydict()
+            keys = [order_of(*place_of(u), i) for u, i in zip(got["url"], got["page_id"])]
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[n] for k in keys], t) for n, t in enumerate(kinds)), pa.array([bisect_right(bounds, k) for k in keys], pa.int32())], ["host", "path", "none", "id", "part"])
+
+    key = F.struct("host", "path", "none", "id")
+    placed = pages.select("url", "page_id").mapInArrow(place, "host string, path string, none boolean, id long, part int")
+    ends = sorted(placed.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last")).collect(), key=lambda r: r["part"])
+    out: dict[tuple, list[int]] = {}
+    for one, then in zip(ends, ends[1:]):
+        if one["last"]["host"] == then["first"]["host"]:  # pages of other hosts are no neighbours
+            out.setdefault(tuple(one["last"]), []).append(then["part"])
+            out.setdefault(tuple(then["first"]), []).append(one["part"])
+    return out
+
+
 def page_text(pages: DataFrame, part_bytes: int = 1 << 20) -> DataFrame:
     """page_id, url, text, n_chars of every page; see the module.
 
@@ -272,89 +311,61 @@ def page_text(pages: DataFrame, part_bytes: int = 1 << 20) -> DataFrame:
 
     A null html is empty, a null or broken url has no host and stands with its likes. Pages with one
     path stand in the order of page_id, null last. A host with one page has no neighbour. Empty
-    tables give empty results. Other columns are ignored. Pages are put in order once, over at most
-    2000 ranges; the first and the last page of each range are done when the ranges are put together.
+    tables give empty results. Other columns are ignored. Pages are put in order and walked once,
+    over at most 2000 ranges; the page at an end of a range goes to the range beside it as well, as a
+    guest that is a neighbour there and no row.
     """
     ship(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     parts = min(2000, parts_for(text_bytes(pages, "html"), part_bytes))
     bounds = bounds_of(pages, parts)
+    guests = guests_of(pages, bounds)
 
     def read(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             got = batch.to_pydict()
-            places = [place_of(u) for u in got["url"]]
-            part = [bisect_right(bounds, order_of(*p, i)) for p, i in zip(places, got["page_id"])]
-            lines = [pack(lines_of(h)) for h in got["html"]]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *(pa.array([p[k] for p in places], pa.string()) for k in (0, 1)), pa.array(lines, pa.binary()), pa.array(part, pa.int32())], [*PAGE, "part"])
-
-    laid = pages.mapInArrow(read, "page_id long, url string, host string, path string, lines binary, part int").repartition(parts, "part")
+            keys = [order_of(*place_of(u), i) for u, i in zip(got["url"], got["page_id"])]
+            part = [bisect_right(bounds, k) for k in keys]
+            lines = [pack(lines_of(h), squeeze) for h in got["html"]]
+            sent: dict[tuple[int, int], int] = {}  # of pages with one key only the outermost can be a neighbour
+            for k, key in enumerate(keys):
+                for to in guests.get(key, ()):
+                    other = sent.get((to, part[k]))
+                    if other is None or (lines[k] > lines[other]) == (to > part[k]):
+                        sent[to, part[k]] = k
+            rows = [*range(len(keys)), *sent.values()]
+            ids = batch.select(["page_id", "url"]).take(pa.array(rows, pa.int64()))
+            columns = [pa.array([keys[k][n] for k in rows], pa.string()) for n in (0, 1)]
+            columns += [pa.array([lines[k] for k in rows], pa.binary()), pa.array([*part, *(to for to, _ in sent)], pa.int32()), pa.array([n >= len(keys) for n in range(len(rows))])]
+            yield pa.RecordBatch.from_arrays([*ids.columns, *columns], ["page_id", "url", "host", "path", "lines", "part", "guest"])
+
+    laid = pages.mapInArrow(read, LAID).repartition(parts, "part")
     laid = laid.sortWithinPartitions("part", "host", "path", F.col("page_id").asc_nulls_last(), "lines")
 
-    def done(rows: list[tuple]) -> pa.RecordBatch:
-        """rows: a page, the one before and the one after, or None."""
-        out, read = [], {}
-
-        def lines(page: tuple) -> list:
-            found = read.get(id(page))  # the rows hold their pages meanwhile
-            return found if found is not None else read.setdefault(id(page), unpack(page[4]))
+    def done(page: tuple, *near: tuple | None) -> tuple:
+        page_id, url, host, path, lines, part, _ = page
+        text = text_of(lines, [(n[3], n[4]) if n and n[5] == part and n[2] == host else None for n in near], path)
+        return page_id, url, text, len(text)
 
-        for page, *near in rows:
-            text = text_of(lines(page), [(n[3], lines(n)) if n and n[2] == page[2] else None for n in near], page[3])
-            out.append((page[0], page[1], text, len(text)))
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "url", "text", "n_chars"])
-
-    def ranges(batches):
-        """Each page with the page before and after it in its range, lot by lot; None at the ends of a range."""
+    def walk(batches):
+        """Each page with the one before and the one after it."""
+        expand = zstandard.ZstdDecompressor().decompress
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
+        rows = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["page_id", "url", "text", "n_chars"])
         before = page = None
         for batch in batches:
-            lot = []
-            for after in zip(*(c.to_pylist() for c in batch.columns)):
-                if page is not None:
-                    same = page[5] == after[5]
-                    lot.append((page, before, after if same else None))
-                    before = page if same else None
-                page = after
-            yield lot
-        if page is not None:
-            yield [(page, before, None)]
-
-    def walk(batches):
-        for lot in ranges(batches):
-            yield done([x for x in lot if x[1] and x[2]])
-
-    def ends(batches):
-        for lot in ranges(batches):
             out = []
-            for page, before, after in lot:
-                if not before or not after:
-                    near = before or after
-                    role = "last" if before else "first" if after else "only"
-                    out.append((*page, role, json.dumps([near[3], near[2], unpack(near[4])]) if near else None))
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [*PAGE, "part", "role", "near"])
-
-    edges = laid.mapInArrow(ends, EDGE)
-    seen = edges.select("part").distinct()
-    follows = seen.select("part", F.lead("part").over(Window.orderBy("part")).alias("then")).where("then IS NOT NULL")
-    body = F.struct("host", "path", "lines")
-    heads = edges.where("role <> 'last'").select(F.col("part").alias("then"), body.alias("head")).join(follows.hint("merge"), "then").select("part", "head")
-    tails = edges.where("role <> 'first'").select("part", body.alias("tail")).join(follows.hint("merge"), "part").select(F.col("then").alias("part"), "tail")
-    whole = edges.join(heads.hint("merge"), "part", "left").join(tails.hint("merge"), "part", "left")
-
-    def close(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                page = tuple(r[k] for k in PAGE)
-                own = json.loads(r["near"]) if r["near"] else None
-                own = (None, None, own[1], own[0], pack(own[2])) if own else None
-                head, tail = ((None, None, x["host"], x["path"], x["lines"]) if x else None for x in (r["head"], r["tail"]))
-                rows.append((page, own if r["role"] == "last" else tail, own if r["role"] == "first" else head))
-            yield done(rows)
-
-    closed = whole.select(*PAGE, "role", "near", F.when(F.col("role") != "first", F.col("head")).alias("head"), F.when(F.col("role") != "last", F.col("tail")).alias("tail")).mapInArrow(close, OUT)
-    return laid.mapInArrow(walk, OUT).unionByName(closed)
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                after = (*row[:4], unpack(row[4], expand), *row[5:])
+                if page and not page[6]:
+                    out.append(done(page, before, after))
+                before, page = page, after
+            yield rows(out)
+        if page and not page[6]:
+            yield rows([done(page, before, None)])
+
+    return laid.mapInArrow(walk, OUT)
 
 
 def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow.fs as pafs
 import pytest
 import sentencepiece
+import zstandard
 
 from loomgraph.llm import kneser_ney as kn
 from loomgraph.llm import merkle, page_text, quality_rules, sentencepieces, warc
@@ -461,6 +462,29 @@ def test_pages(spark, part_bytes):
     assert not page_text.page_text(docs.limit(0)).count()
 
 
+def test_pages_are_walked_once(spark):
+    """One reading and one walk: no step goes over all pages again to put the ends of ranges together."""
+    docs = spark.createDataFrame([(k, f"http://h.x/{k:03d}", f"<p>own {k}</p><p>contact</p>") for k in range(40)], "page_id long, url string, html string")
+    plan = page_text.page_text(docs, 200)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("part_bytes", [1 << 20, 600, 60])
+def test_ends_of_ranges(spark, part_bytes):
+    """Ranges of any size give each page the neighbours that it has in the whole order, with equal paths, ids and pages among them."""
+    rng = random.Random(4)
+    page = lambda k: "".join(f"<p>{x}</p>" for x in ["menu", *rng.sample([f"part {j}" for j in range(6)], 3), f"own {k}", "contact"])
+    rows = [(rng.choice([k, k, k // 7, None]), rng.choice([None, "http://[bad", *(f"http://h{k % 4}.x/{'en/' * (k % 3)}{k % 11}" for _ in range(6))]), rng.choice([page(k), page(k % 5), None])) for k in range(120)]
+    rows += rows[:9]
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    keyed = [((*page_text.order_of(*page_text.place_of(u), i), page_text.pack(page_text.lines_of(h), squeeze)), i, u, page_text.lines_of(h)) for i, u, h in rows]
+    read = sorted(keyed, key=lambda r: r[0])
+    near = lambda k, j: (read[j][0][1], read[j][3]) if 0 <= j < len(read) and read[j][0][0] == read[k][0][0] else None
+    want = Counter((i, u, page_text.text_of(lines, [near(k, k - 1), near(k, k + 1)], key[1])) for k, (key, i, u, lines) in enumerate(read))
+    got = page_text.page_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), part_bytes).collect()
+    assert Counter((r["page_id"], r["url"], r["text"]) for r in got) == want
+
+
 def test_merkle_reuses_paragraphs(monkeypatch):
     """An edited text costs only its cut paragraphs, and has the fingerprint that it has by itself."""
     a, b = "".join(f"Line {k} of a.\n\n" for k in range(20)), "".join(f"Line {k} of b!\n" for k in range(40))
