@@ -274,8 +274,14 @@ def order_of(host: str, path: str, page_id: int | None) -> tuple:
 
 
 def bounds_of(pages: DataFrame, parts: int) -> list[tuple]:
-    """Where ranges of pages end, from a sample of at most SAMPLE * ``parts`` pages. Bounds decide which task walks a page, not what comes of it."""
-    some = pages.select("url", "page_id").orderBy(F.xxhash64("url", "page_id")).limit(SAMPLE * parts).collect()
+    """Where ranges of pages end, from a sample of about SAMPLE * ``parts`` pages. Bounds decide which task walks a page, not what comes of it.
+
+    Rows are drawn one by one: the first of an order would send that many rows of each task to the driver.
+    """
+    total = pages.count() if parts > 1 else 0
+    if not total:
+        return []
+    some = pages.select("url", "page_id").sample(min(1.0, SAMPLE * parts / total), seed=1).collect()
     keys = sorted(order_of(*place_of(r["url"]), r["page_id"]) for r in some)
     return sorted(set(keys[len(keys) * k // parts] for k in range(1, parts))) if keys else []
 

@@ -469,6 +469,18 @@ def test_pages_are_walked_once(spark):
     assert plan.count("MapInArrow") == 2 and "Join" not in plan and "Window" not in plan
 
 
+def test_bounds_take_a_sample_of_each_task(spark, monkeypatch):
+    """The rows that come to the driver for the bounds do not grow with the tasks."""
+    sent, kind = [], type(spark.range(0))
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: sent.append((self._jdf.queryExecution().executedPlan().toString(), collect(self))) or sent[-1][1])
+    pages = spark.range(20_000, numPartitions=8).selectExpr("id AS page_id", "concat('http://h.x/', lpad(id, 6, '0')) AS url", "'' AS html")
+    bounds = page_text.bounds_of(pages, 10)
+    plan, rows = sent[-1]
+    assert "TakeOrdered" not in plan and 100 <= len(rows) <= 300
+    assert len(bounds) == 9 and bounds == sorted(bounds) and page_text.bounds_of(pages.limit(0), 10) == page_text.bounds_of(pages, 1) == []
+
+
 @pytest.mark.parametrize("part_bytes", [1 << 20, 600, 60])
 def test_ends_of_ranges(spark, part_bytes):
     """Ranges of any size give each page the neighbours that it has in the whole order, with equal paths, ids and pages among them."""
