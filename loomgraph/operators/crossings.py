@@ -13,30 +13,50 @@ from ..functions import scalars as S
 from .analytics import cut
 from .graphs import parts_for
 
-#: Members of a cell are kept in so many hash slots; a jump draws a slot, then the member there with the smallest draw.
-SLOTS = 64
+#: A cell's edges are numbered slot by slot; a slot is what one task sorts.
+SLOTS = 1024
 
 
 def _draw(seed: str, *parts: Column) -> Column:
     return S.draw(F.lit(seed), *(p.cast("string") for p in parts))
 
 
+def _number(below: Column, seed: str, *parts: Column) -> Column:
+    """A whole number from a key, 0 to ``below`` - 1 (null where that is none): what 60 bits of SHA-256 leave over."""
+    key = F.sha2(F.concat_ws(":", F.lit(seed), *(p.cast("string") for p in parts)), 256)
+    return F.pmod(F.conv(F.substring(key, 1, 15), 16, 10).cast("long"), F.nullif(below.cast("long"), F.lit(0).cast("long")))
+
+
+def numbered_ends(edges: DataFrame, seed: str) -> DataFrame:
+    """(src_emotion, dst_emotion, to_game, number, jump): the end of every edge, numbered from 0 in its emotion pair and game.
+
+    Order is by slot (a draw from the edge), src, dst. Slots are sorted each for itself, and their counts give the numbers
+    before them, so that no task sorts a whole cell, whose size grows with the data.
+    """
+    cell = ["src_emotion", "dst_emotion", "to_game"]
+    e = edges.withColumnRenamed("game", "to_game").withColumn("slot", F.floor(_draw(seed, F.col("src"), F.col("dst")) * SLOTS).cast("int"))
+    counts = e.groupBy(*cell, "slot").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(*cell).orderBy("slot")) - F.col("n")).drop("n")
+    place = F.row_number().over(Window.partitionBy(*cell, "slot").orderBy("src", "dst")) - 1
+    return e.withColumn("place", place).join(before, [*cell, "slot"]).select(*cell, (F.col("before") + F.col("place")).alias("number"), F.col("dst").alias("jump"))
+
+
 def bridge_walks(edges: DataFrame, starts: DataFrame, steps: int, cross: float = 0.3, seed: str = "bridge") -> DataFrame:
     """(walk_id, step, game, id, crossed): walks that may jump to another game where that has an edge of the same emotions.
 
     edges (game, src, dst, src_emotion, dst_emotion), ids unique over games; starts (walk_id, game, id). At each step an edge
     out of the node is drawn. With probability ``cross`` (less than a third of that between two neutral lines) the walk jumps
     to the end of an edge of the same emotion pair in another game, unless it was there. Otherwise it follows the edge, or
-    where that leads back an edge to a node it has not seen; without any it ends. Jump ends are drawn from one representative
-    for each hash slot of a cell's edges, so that a cell of any size adds 64 rows a game to the join.
+    where that leads back an edge to a node it has not seen; without any it ends. A jump draws one of the other games, each as
+    likely, then one of all that game's edges of the pair, each as likely, by number; so a jump is one row of a join.
     """
     e = cut(edges.select("game", "src", "dst", "src_emotion", "dst_emotion"))
     pair = ["src_emotion", "dst_emotion"]
-    slot = F.pmod(F.xxhash64("src", "dst"), F.lit(SLOTS))
-    ends = e.groupBy(*pair, F.col("game").alias("to_game"), slot.alias("slot")).agg(F.min_by("dst", _draw(seed, F.col("src"), F.col("dst"))).alias("jump"))
-    # a draw of 32 bits and a member's rank in its cell are one number, so that the smallest draw of a walk comes from a hash table
-    listed = ends.groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("to_game", "jump", "slot"))).alias("cell"))
-    ends = F.broadcast(cut(listed.select(*pair, F.posexplode("cell").alias("rank", "m")).select(*pair, "rank", "m.*")))
+    place = [*pair, "to_game", "number"]
+    # dealt and sorted once for the joins of all steps
+    ends = cut(numbered_ends(e, seed).repartition(parts_for(e), *place).sortWithinPartitions(*place))
+    sizes = e.groupBy(*pair, "game").agg(F.count("*").alias("n"))
+    cells = F.broadcast(cut(sizes.groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("game", "n"))).alias("games"))))
     state = starts.select("walk_id", "game", "id", F.array("id").alias("path"))
     out = [starts.select("walk_id", F.lit(0).alias("step"), "game", "id", F.lit(False).alias("crossed"))]
     parts = parts_for(starts)
@@ -50,12 +70,13 @@ def bridge_walks(edges: DataFrame, starts: DataFrame, steps: int, cross: float =
         )
         chosen = choice.select("walk_id", "c.*", "other")
         odds = F.when((F.col("src_emotion") == "neutral") & (F.col("dst_emotion") == "neutral"), cross * 0.3).otherwise(cross)
-        chosen = cut(chosen.withColumn("wants", _draw(seed + ":cross", F.col("walk_id"), at) < odds))
-        v = _draw(seed + ":jump", F.col("walk_id"), at, F.col("to_game"), F.col("slot"))
-        code = F.shiftleft((v * 4294967296).cast("long"), 31) + F.col("rank")
-        jumps = chosen.where("wants").select("walk_id", "game", *pair).join(ends, pair).where("to_game <> game").groupBy("walk_id").agg(F.min(code).alias("code"))
-        both = chosen.join(jumps, "walk_id", "left").withColumn("rank", F.col("code").bitwiseAND((1 << 31) - 1).cast("int")).drop("code")
-        both = both.join(ends.drop("slot"), [*pair, "rank"], "left")
+        wants = _draw(seed + ":cross", F.col("walk_id"), at) < odds
+        others = F.filter("games", lambda g: g["game"] != F.col("game"))
+        game = F.get("others", _number(F.size("others"), seed + ":game", F.col("walk_id"), at).cast("int"))
+        chosen = chosen.join(cells, pair, "left").withColumn("others", F.when(wants, others)).withColumn("to", game).drop("games", "others")
+        chosen = cut(chosen.select("*", F.col("to.game").alias("to_game"), _number(F.col("to.n"), seed + ":jump", F.col("walk_id"), at).alias("number")).drop("to"))
+        # walks that stay are not joined: their keys are null and would go to one task
+        both = chosen.where("number IS NOT NULL").join(ends, place).unionByName(chosen.where("number IS NULL"), allowMissingColumns=True)
         leaps = F.col("jump").isNotNull() & ~F.array_contains("path", F.col("jump"))
         follow = F.when(F.col("seen"), F.col("other")).otherwise(F.col("dst"))
         moved = both.select("walk_id", F.when(leaps, F.col("to_game")).otherwise(F.col("game")).alias("game"), F.when(leaps, F.col("jump")).otherwise(follow).alias("id"), F.coalesce(leaps, F.lit(False)).alias("crossed"), "path")

@@ -1,4 +1,6 @@
+import hashlib
 import json
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -288,3 +290,69 @@ def test_chains_take_no_distinct_rows(spark, monkeypatch):
     monkeypatch.setattr(C, "cut", lambda df: plans.append((df.columns, plan(df))) or cut(df))
     C.linear_chains(spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)], "src string, dst string"))
     assert not any("Union" in p and "HashAggregate" in p for columns, p in plans if "place" in columns)
+
+
+EDGE = "game string, src string, dst string, src_emotion string, dst_emotion string"
+
+
+def test_jumps_reach_every_edge(spark):
+    """Each edge of a cell is as likely, in a cell of far more edges than slots had representatives."""
+    cell = [("h", f"b{i}", f"c{i}", "sad", "happy") for i in range(300)] + [("k", "k0", "k1", "sad", "happy"), ("h", "d", "d1", "sad", "sad"), ("g", "a0", "a1", "sad", "happy")]
+    edges = spark.createDataFrame(cell, EDGE)
+    numbers = C.numbered_ends(edges, "s").where("to_game = 'h' AND dst_emotion = 'happy'").collect()
+    assert sorted(r["number"] for r in numbers) == list(range(300)) and len({r["jump"] for r in numbers}) == 300
+    starts = spark.range(12000).selectExpr("concat('w', id) AS walk_id", "'g' AS game", "'a0' AS id")
+    ends = Counter(r["id"] for r in C.bridge_walks(edges, starts, 1, cross=1.0).where("step = 1 AND crossed").collect())
+    assert ends.total() == 12000 and 5600 < ends.pop("k1") < 6400
+    assert set(ends) == {f"c{i}" for i in range(300)} and max(ends.values()) < 50
+
+
+def plain_walks(edges, starts, steps, cross=0.3, seed="bridge"):
+    """bridge_walks over lists, one walk at a time."""
+    sha = lambda *parts: hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()
+    draw, whole = lambda *parts: int(sha(*parts)[:8], 16) / 2**32, lambda *parts: int(sha(*parts)[:15], 16)
+    out, cells = defaultdict(list), defaultdict(lambda: defaultdict(list))
+    for e in edges:
+        out[e[1]].append(e)
+        cells[e[3:]][e[0]].append((int(draw(seed, e[1], e[2]) * 1024), e[1], e[2]))
+    for games in cells.values():
+        for members in games.values():
+            members.sort()
+    rows = []
+    for walk, game, at in starts:
+        path = [at]
+        rows.append((walk, 0, game, at, False))
+        for step in range(1, steps + 1):
+            options = sorted((draw(seed + ":edge", walk, step, e[2]), e[2], e) for e in out[at])
+            if not options:
+                break
+            e, crossed = options[0][2], False
+            to = next((d for _, d, _ in options if d not in path), None) if e[2] in path else e[2]
+            games = sorted(g for g in cells[e[3:]] if g != game)
+            if games and draw(seed + ":cross", walk, step) < cross * (0.3 if e[3:] == ("neutral", "neutral") else 1):
+                far = games[whole(seed + ":game", walk, step) % len(games)]
+                jump = cells[e[3:]][far][whole(seed + ":jump", walk, step) % len(cells[e[3:]][far])][2]
+                if jump not in path:
+                    to, game, crossed = jump, far, True
+            if to is None:
+                break
+            at = to
+            path.append(at)
+            rows.append((walk, step, game, at, crossed))
+    return rows
+
+
+def test_bridge_coverage_plain(spark, sf):
+    from loomgraph import registry
+    from loomgraph.operators import graphs
+    from loomgraph.plans.views import event_lines
+
+    lines = event_lines(spark, sf)
+    edges = [tuple(r) for r in graphs.emotion_edges(lines).select("game", "src", "dst", "src_emotion", "dst_emotion").collect()]
+    starts = [(r["form_id"], r["game"], r["form_id"]) for r in lines.where("game = 'g0'").collect()]
+    by = defaultdict(list)
+    for r in plain_walks(edges, starts, 5):
+        by[r[0]].append(r)
+    want = [(w, len(rows), len({r[2] for r in rows}), sum(r[4] for r in rows), round(len({r[2] for r in rows}) / 4, 6)) for w, rows in by.items()]
+    got = registry.QUERIES["bridge_coverage"](spark, sf).select("walk_id", "nodes", "games", "crossings", "coverage").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
