@@ -356,3 +356,11 @@ def test_bridge_coverage_plain(spark, sf):
     want = [(w, len(rows), len({r[2] for r in rows}), sum(r[4] for r in rows), round(len({r[2] for r in rows}) / 4, 6)) for w, rows in by.items()]
     got = registry.QUERIES["bridge_coverage"](spark, sf).select("walk_id", "nodes", "games", "crossings", "coverage").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_hubs_are_all_there(spark, sf):
+    from loomgraph import registry
+
+    nodes = registry.QUERIES["node_degrees"](spark, sf).collect()
+    want = sorted(((r["game"], r["id"], r["out_deg"] + r["in_deg"]) for r in nodes if r["out_deg"] + r["in_deg"] >= 6), key=lambda r: (-r[2], r[1]))
+    assert len(want) > 50 and [tuple(r) for r in registry.QUERIES["hubs"](spark, sf).collect()] == want
