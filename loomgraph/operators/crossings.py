@@ -52,9 +52,7 @@ def bridge_walks(edges: DataFrame, starts: DataFrame, steps: int, cross: float =
     """
     e = cut(edges.select("game", "src", "dst", "src_emotion", "dst_emotion"))
     pair = ["src_emotion", "dst_emotion"]
-    place = [*pair, "to_game", "number"]
-    # dealt and sorted once for the joins of all steps
-    ends = cut(numbered_ends(e, seed).repartition(parts_for(e), *place).sortWithinPartitions(*place))
+    ends = cut(numbered_ends(e, seed))
     sizes = e.groupBy(*pair, "game").agg(F.count("*").alias("n"))
     cells = F.broadcast(cut(sizes.groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("game", "n"))).alias("games"))))
     state = starts.select("walk_id", "game", "id", F.array("id").alias("path"))
@@ -76,7 +74,7 @@ def bridge_walks(edges: DataFrame, starts: DataFrame, steps: int, cross: float =
         chosen = chosen.join(cells, pair, "left").withColumn("others", F.when(wants, others)).withColumn("to", game).drop("games", "others")
         chosen = cut(chosen.select("*", F.col("to.game").alias("to_game"), _number(F.col("to.n"), seed + ":jump", F.col("walk_id"), at).alias("number")).drop("to"))
         # walks that stay are not joined: their keys are null and would go to one task
-        both = chosen.where("number IS NOT NULL").join(ends, place).unionByName(chosen.where("number IS NULL"), allowMissingColumns=True)
+        both = chosen.where("number IS NOT NULL").join(ends, [*pair, "to_game", "number"]).unionByName(chosen.where("number IS NULL"), allowMissingColumns=True)
         leaps = F.col("jump").isNotNull() & ~F.array_contains("path", F.col("jump"))
         follow = F.when(F.col("seen"), F.col("other")).otherwise(F.col("dst"))
         moved = both.select("walk_id", F.when(leaps, F.col("to_game")).otherwise(F.col("game")).alias("game"), F.when(leaps, F.col("jump")).otherwise(follow).alias("id"), F.coalesce(leaps, F.lit(False)).alias("crossed"), "path")

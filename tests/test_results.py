@@ -364,3 +364,21 @@ def test_hubs_are_all_there(spark, sf):
     nodes = registry.QUERIES["node_degrees"](spark, sf).collect()
     want = sorted(((r["game"], r["id"], r["out_deg"] + r["in_deg"]) for r in nodes if r["out_deg"] + r["in_deg"] >= 6), key=lambda r: (-r[2], r[1]))
     assert len(want) > 50 and [tuple(r) for r in registry.QUERIES["hubs"](spark, sf).collect()] == want
+
+
+def test_bridge_walks_plain(spark, sf):
+    from loomgraph import registry
+    from loomgraph.operators import graphs
+    from loomgraph.plans.views import event_lines
+
+    lines = event_lines(spark, sf)
+    edges = [tuple(r) for r in graphs.emotion_edges(lines).select("game", "src", "dst", "src_emotion", "dst_emotion").collect()]
+    starts = [(r["form_id"], r["game"], r["form_id"]) for r in lines.where("game = 'g0'").collect()]
+    got = registry.QUERIES["bridge_walks"](spark, sf).select("walk_id", "step", "game", "id", "crossed").collect()
+    assert sorted(map(tuple, got)) == sorted(plain_walks(edges, starts, 5))
+    # ends that are null, games with no partner, parallel edges and pairs without an emotion
+    odd = [("g", "a", "b", "sad", None), ("g", "a", "b", "sad", "sad"), ("g", "a", "b", "sad", "sad"), ("h", "c", None, "sad", "sad"), ("h", "d", "e", "sad", None), (None, "n", "m", "sad", "sad"), ("g", "b", "a", "happy", "sad")]
+    begun = spark.range(50).selectExpr("concat('w', id) AS walk_id", "'g' AS game", "'a' AS id")
+    rows = C.bridge_walks(spark.createDataFrame(odd, EDGE), begun, 3, cross=1.0).collect()
+    assert len(rows) == 100 and {(r["step"], r["game"], r["id"], r["crossed"]) for r in rows} == {(0, "g", "a", False), (1, "g", "b", False)}
+
